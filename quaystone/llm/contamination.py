@@ -198,12 +198,15 @@ def has_stretch(item: np.ndarray, doc: np.ndarray) -> bool:
     word = np.lib.stride_tricks.as_strided(padded, (most + 1, width), (padded.strides[0], padded.strides[0]))
     for i in range(m):
         new = np.zeros_like(run)
-        new[:, 1:] = np.where(word[:, 1:] == item[i], run[:, :-1] + 1, 0)
+        # A stretch begins and ends with a word that stands in both.
+        met = np.where(word[:, 1:] == item[i], run[:, :-1] + 1, 0)
+        np.maximum(best, met.max(axis=1), out=best)
+        new[:, 1:] = met
         if most:
-            np.maximum(new[1:], run[:-1] + 1, out=new[1:])
-            np.maximum(new[1:, :-1], run[:-1, 1:] + 1, out=new[1:, :-1])
+            longer = np.where(run > 0, run + 1, 0)
+            np.maximum(new[1:], longer[:-1], out=new[1:])
+            np.maximum(new[1:, :-1], longer[:-1, 1:], out=new[1:, :-1])
             np.maximum.accumulate(new, axis=0, out=new)
-        np.maximum(best, new.max(axis=1), out=best)
         run = new
     return bool((best >= np.maximum(STRETCH, PER_EDIT * np.arange(most + 1))).any())
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quaystone.llm.contamination import leaked_items
 from quaystone.llm.packing import pack, token_sizes
+from quaystone.llm.pii import masked_texts, pii_stretches
 from quaystone.llm.quantiles import combine, percentiles, sketches
 from quaystone.llm.splitting import split_oversized
 from quaystone.session import cut, table
@@ -58,10 +59,20 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii_stretches(table(spark, d, "documents"))
+
+
+def p10_masked(spark: SparkSession, d: str) -> DataFrame:
+    return masked_texts(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p2_percentiles": p2_percentiles,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
     "p8_containers": p8_containers,
     "p9_found": p9_found,
+    "p10_found": p10_found,
+    "p10_masked": p10_masked,
 }
