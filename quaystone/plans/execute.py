@@ -53,9 +53,9 @@ def estimate(df: DataFrame) -> Estimate:
     """Catalyst's own statistics of the optimised plan: bytes of the leaves it scans, and of the result."""
     q = df._jdf.queryExecution()
     plan = q.optimizedPlan()
-    scan = sum(int(leaf.stats().sizeInBytes().toString()) for leaf in _leaves(plan))
+    scan = sum(int(str(leaf.stats().sizeInBytes())) for leaf in _leaves(plan))
     text = q.executedPlan().toString()
-    return Estimate(int(plan.stats().sizeInBytes().toString()), scan, len(df.inputFiles()), "PartitionFilters: [" in text and "PartitionFilters: []" not in text)
+    return Estimate(int(str(plan.stats().sizeInBytes())), scan, len(df.inputFiles()), "PartitionFilters: [" in text and "PartitionFilters: []" not in text)
 
 
 def check_cost(df: DataFrame, policy: Policy) -> Estimate | None:

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Plan nodes a query may consist of before analysis. Everything else is refused, known or not: commands, writes, table functions.
 ALLOWED_NODES = frozenset(
-    "Project Filter Aggregate Join Sort GlobalLimit LocalLimit Offset Distinct Union SubqueryAlias UnresolvedWith UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedHaving OneRowRelation WithWindowDefinition "
+    "LimitAll Project Filter Aggregate Join Sort GlobalLimit LocalLimit Offset Distinct Union SubqueryAlias UnresolvedWith UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedHaving OneRowRelation WithWindowDefinition "
     "UnresolvedInlineTable LocalRelation Except Intersect LateralJoin Pivot Unpivot Window Expand UnresolvedOrdinal CTERelationRef CTERelationDef WithCTE Tail UnresolvedTableAliases UnresolvedStarWithColumns".split()
 )
-ROOTS_REFUSED = frozenset({"Except", "Intersect"})
+ROOTS_REFUSED = frozenset({"Except", "Intersect", "UnresolvedInlineTable", "LocalRelation"})
 
 
 class UnsafeQuery(ValueError):
@@ -59,12 +59,11 @@ def plan_nodes(plan) -> Iterator:
         yield from plan_nodes(child)
     for e in _seq(plan.expressions().toSeq()):
         for x in expression_nodes(e):
-            inner = getattr(x, "plan", None) if x.getClass().getSimpleName() in _SUBQUERIES else None
-            if inner is not None:
+            if x.getClass().getSimpleName() in SUBQUERIES:
                 yield from plan_nodes(x.plan())
 
 
-_SUBQUERIES = {"ScalarSubquery", "ListQuery", "Exists", "LateralSubquery", "InSubquery", "DynamicPruningSubquery", "FunctionTableSubqueryArgumentExpression"}
+SUBQUERIES = frozenset({"ScalarSubquery", "ListQuery", "Exists", "LateralSubquery", "DynamicPruningSubquery", "FunctionTableSubqueryArgumentExpression"})
 
 
 def expression_nodes(e) -> Iterator:
@@ -95,7 +94,7 @@ def validate(spark: SparkSession, sql: str, policy: Policy) -> SafeQuery:
     text = sql.strip().rstrip(";").strip() if sql else ""
     plan = parse(spark, text)
     root = plan
-    while root.getClass().getSimpleName() in ("UnresolvedWith", "GlobalLimit", "LocalLimit", "Sort", "SubqueryAlias"):
+    while root.getClass().getSimpleName() in ("UnresolvedWith", "GlobalLimit", "LocalLimit", "LimitAll", "Sort", "SubqueryAlias"):
         root = root.child()
     if root.getClass().getSimpleName() in ROOTS_REFUSED:
         raise UnsafeQuery(f"{root.getClass().getSimpleName()} is not allowed as the query itself")

@@ -172,7 +172,7 @@ def write_blocks(df: DataFrame, path: str) -> None:
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (file stem), text of every Markdown file of a folder."""
-    return spark.read.option("wholetext", True).text(f"{path}/*.md").select(F.regexp_replace(F.col("_metadata.file_name"), r"\.md$", "").alias("doc_id"), F.col("value").alias("text"))
+    return spark.read.text(f"{path}/*.md", wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.md$", "").alias("doc_id"), F.col("value").alias("text"))
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
