@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quaystone.session import cut
+
 STATE = "table_name string, column_name string, value string, value_num double, n long"
 KEYS = ["table_name", "column_name", "value", "value_num"]
 
@@ -74,6 +76,7 @@ def load_shift(by_load: DataFrame) -> DataFrame:
     Counts of a load are tagged as the later side of their load and the earlier side of the next, and one aggregation by value
     meets the two; per-load totals are joined from a table of one row per column and load. The first load of a table has no shift.
     """
+    by_load = cut(by_load)  # read three times below
     loads = by_load.select("table_name", "load").distinct()
     following = loads.withColumn("next_load", F.lead("load").over(Window.partitionBy("table_name").orderBy("load")))
     totals = by_load.groupBy("table_name", "column_name", "load").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"))
