@@ -107,7 +107,7 @@ def parse_name(text: str, at: int, relaxed: bool = False) -> int | None:
 
 _NUMBER = r"\d{1,4}(?:[A-Za-z](?![\p{L}\d]))?(?:[-/]\d{1,4}[A-Za-z]?(?![\p{L}\d]))?(?: (?:bis|ter|quater)(?!\p{L}))?"
 _BOX = r"(?:,? (?:bus|bte\.?|boîte|box|appt?\.?|apt\.?|Wohnung|Whg\.?|postbus) ?[\p{L}\d]{1,4}(?![\p{L}\d]))?"
-_CAP = rf"(?=\p{{Lu}}|[ÃÂ]){_LET}(?:{_LET}|['’])*(?:[-‐]{_LET}(?:{_LET}|['’])*)*"
+_CAP = rf"(?!J['’]habite)(?=\p{{Lu}}|[ÃÂ]){_LET}(?:{_LET}|['’])*(?:[-‐]{_LET}(?:{_LET}|['’])*)*"
 _PLACE = rf"(?=\p{{Lu}}|[ÃÂ]){_LET}+(?:['’-]{_LET}+)*(?: (?:(?:am|an der|aan de|aan den|op de|sur|sous|lez|les|upon|on|de|la|le) )?(?=\p{{Lu}}){_LET}+(?:['’-]{_LET}+)*(?![\p{{L}}:])){{0,2}}"
 _JOIN = rf"(?:{_BLANK}*,{_BLANK}*|{_BLANK}+[-–]{_BLANK}+|{_BLANK}*,?{_BLANK}*\r?\n{_BLANK}*|{_BLANK}+)"
 _POSTAL = rf"(?:{_JOIN}(?:[A-Z]{{1,3}}[-–] ?)?\d{{4,5}}{_BLANK}+{_PLACE})?"
@@ -183,8 +183,21 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def _emails(text: str) -> Iterator[tuple[int, int]]:
-    for m in _EMAIL.finditer(text):
+def _emails(text: str, low: str, hits: list[tuple[int, str, list[str]]]) -> Iterator[tuple[int, int]]:
+    """Each at-sign is expanded to the left over the local part, then the whole address is matched from there."""
+    for after, cue, kinds in hits:
+        if "mail" not in kinds or (cue == " at " and "dot" not in low[after : after + 80] and text[after - 4 : after] != " AT "):
+            continue
+        left = after - len(cue)
+        while left > 0 and text[left - 1] in " \t\u00a0":
+            left -= 1
+        while left > 0 and (text[left - 1].isalnum() or text[left - 1] in "._%+'’-"):
+            left -= 1
+        while left < after and not text[left].isalnum():
+            left += 1
+        m = _EMAIL.match(text, left)
+        if m is None:
+            continue
         local, at, start = m["local"], m["at"], m.start()
         worded = at.strip().lower() == "at"
         if worded and not (at.strip() == "AT" and regex.search(r"\bDOT\b|\.", m["domain"])) and not regex.search(r"\bdot\b", m["domain"], regex.I):
@@ -325,12 +338,14 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
     present = {k for _, _, kinds in hits for k in kinds}
     found: list[tuple[int, int, str]] = []
     if "mail" in present:
-        found += [(a, b, "email") for a, b in _emails(text)]
+        found += [(a, b, "email") for a, b in _emails(text, low, hits)]
     if any(c.isdigit() for c in text):
         if "phone" in present:
             found += [(a, b, "phone") for a, b in _phones(text)]
-        found += [(a, b, "id_number") for a, b in _ids(text)]
-        found += [(a, b, "address") for a, b in _addresses(text)]
+        numbers = list(_ids(text))
+        found += [(a, b, "id_number") for a, b in numbers]
+        # The end of an id number is no house number.
+        found += [(a, b, "address") for a, b in _addresses(text) if not any(c < a < e for c, e in numbers)]
     if present & {"signed", "spoke", "title", "saw"}:
         found += [(a, b, "person") for a, b in _people(text, hits)]
     kept: list[tuple[int, int, str]] = []
