@@ -46,3 +46,36 @@ def lost_characters(source: DataFrame, cells: DataFrame, by: list[str], text: st
         return df.select(*by, F.explode(F.split(F.regexp_replace(F.col(text), r"\s+", ""), "")).alias("char")).where("char <> ''").groupBy(*by, "char").agg((F.count(F.lit(1)) * sign).alias("n"))
 
     return counted(source, 1).unionByName(counted(cells, -1)).groupBy(*by, "char").agg(F.sum("n").alias("lost")).where("lost <> 0")
+
+
+def page_lines(words: DataFrame, by: list[str], x: str, top: str, text: str, tolerance: float = 3.0) -> DataFrame:
+    """by, line_no, top, text: words of a page grouped to lines; a word joins the line whose first word stands at most ``tolerance`` higher.
+
+    The anchor is the line's first word, so this is a fold over the page's words in reading order, inside one array per page.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(top).alias("t"), F.col(x).alias("x"), F.col(text).alias("w"))))
+    empty = F.array().cast("array<struct<t:double,words:array<struct<x:double,w:string>>>>")
+
+    def step(done: Column, word: Column) -> Column:
+        last = F.element_at(done, -1)
+        one = F.struct(word["x"].cast("double").alias("x"), word["w"].alias("w"))
+        same = (F.size(done) > 0) & (word["t"] - last["t"] <= tolerance)
+        grown = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["t"].alias("t"), F.concat(last["words"], F.array(one)).alias("words"))))
+        return F.when(same, grown).otherwise(F.concat(done, F.array(F.struct(word["t"].cast("double").alias("t"), F.array(one).alias("words")))))
+
+    lines = words.groupBy(*by).agg(F.aggregate(ordered, empty, step).alias("lines"))
+    out = lines.select(*by, F.posexplode("lines").alias("line_no", "l"))
+    return out.select(*by, "line_no", F.col("l.t").alias("top"), F.array_join(F.transform(F.array_sort("l.words"), lambda w: w["w"]), " ").alias("text"))
+
+
+def grid_rows(words: DataFrame, edges: DataFrame, rows: DataFrame, doc: str, page: str, x: str, y: str, text: str) -> DataFrame:
+    """doc, page, row, cells: the words of each cell of a ruled table, by column and row edges; words outside the grid are left out.
+
+    ``edges`` is (doc, edge) of the document's columns, ``rows`` (doc, page, edge) of the page's row rules.
+    """
+    columns = edges.groupBy(doc).agg(F.array_sort(F.collect_list("edge")).alias("xs"))
+    bands = rows.groupBy(doc, page).agg(F.array_sort(F.collect_list("edge")).alias("ys"))
+    placed = words.join(columns, doc).join(bands, [doc, page]).select(doc, page, cell_of(F.col(x), F.col("xs")).alias("col"), cell_of(F.col(y), F.col("ys")).alias("row"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(text).alias("w"))
+    cells = placed.where(F.col("col").isNotNull() & F.col("row").isNotNull()).groupBy(doc, page, "row", "col").agg(F.array_sort(F.collect_list(F.struct("y", "x", "w"))).alias("ws"))
+    joined = cells.withColumn("cell", F.array_join(F.transform("ws", lambda w: w["w"]), " "))
+    return joined.groupBy(doc, page, "row").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("col"), F.col("cell"))))).alias("cells"))

@@ -185,3 +185,28 @@ def test_times(spark):
     assert Scope(date(2026, 1, 1)).start == date(2026, 1, 1) and datetime(2026, 1, 1)
     months = merge.month_partitions(spark, date(2025, 12, 5), date(2026, 2, 1)).collect()
     assert [r.partition_name for r in months] == ["p2025_12", "p2026_01", "p2026_02"] and months[0].end_day == date(2026, 1, 1)
+
+
+def test_page_lines_and_grid(spark):
+    words = spark.createDataFrame([("d", 1, 5.0, 10.0, "b"), ("d", 1, 1.0, 11.0, "a"), ("d", 1, 1.0, 14.5, "c"), ("d", 1, 99.0, 40.0, "out")], "doc string, page int, x double, y double, w string")
+    got = layout.page_lines(words, ["doc", "page"], "x", "y", "w").orderBy("line_no").collect()
+    assert [r.text for r in got] == ["a b", "c", "out"]
+    edges = spark.createDataFrame([("d", 0.0), ("d", 4.0), ("d", 9.0)], "doc string, edge double")
+    rows = spark.createDataFrame([("d", 1, 9.0), ("d", 1, 13.0), ("d", 1, 20.0)], "doc string, page int, edge double")
+    cells = {r.row: r.cells for r in layout.grid_rows(words, edges, rows, "doc", "page", "x", "y", "w").collect()}
+    assert cells == {0: {0: "a", 1: "b"}, 1: {0: "c"}}
+
+
+def test_config(tmp_path):
+    from quaystone.config import ConfigError, EvaluationConfig, load
+
+    f = tmp_path / "c.yaml"
+    f.write_text("sql:\n  allowed_tables: [gold.dim_date]\n  blocked_functions: [Sleepy]\nsql_checks:\n  explain: true\n  max_scan_bytes: 5\n")
+    policy = load(str(f)).policy()
+    assert policy.tables == {"gold.dim_date"} and policy.max_scan_bytes == 5 and "sleepy" in policy.blocked_functions and "reflect" in policy.blocked_functions
+    for bad in ("sql: {}", "sql: {allowed_tables: x}", "sql: {allowed_tables: [a], other: 1}", "sql: {allowed_tables: [a], max_rows: 0}", "sql: {allowed_tables: [a]}\nsql_checks: {max_scan_bytes: 4}", "- x", "sql: {allowed_tables: [a], max_rows: true}", "{"):
+        f.write_text(bad)
+        with pytest.raises(ConfigError):
+            load(str(f))
+    f.write_text("top_k: 2")
+    assert load(str(f), EvaluationConfig).top_k == 2
