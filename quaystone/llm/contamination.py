@@ -36,6 +36,17 @@ _WORD = re.compile(r"[^\W_]+")
 _FOLD = str.maketrans({"æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "ł": "l", "þ": "th", "ı": "i", "ſ": "s"})
 
 
+class _Visible(dict):
+    """A translation that drops marks, invisible and unassigned characters; each character is looked up once."""
+
+    def __missing__(self, code: int) -> int | None:
+        self[code] = None if unicodedata.category(chr(code)) in ("Mn", "Cf", "Me", "Co", "Cn") else code
+        return self[code]
+
+
+_visible = _Visible()
+
+
 def _repair(match: re.Match) -> str:
     """UTF-8 that was read as a single-byte code page, read right; anything else as it stands."""
     raw = match.group(0)
@@ -78,7 +89,7 @@ def normal_words(text: str | None) -> list[str]:
     if "\n" in text or "\r" in text:
         text = _BROKEN_WORD.sub("", text)
     if not text.isascii():
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Cf", "Me", "Co", "Cn"))
+        text = text.translate(_visible)
     text = text.casefold().translate(_FOLD) if not text.isascii() else text.lower()
     return _WORD.findall(text)
 
