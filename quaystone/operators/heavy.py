@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,8 +55,9 @@ def per_key(df: DataFrame, key: str, partials: dict[str, Column], merges: dict[s
 def heavy_counts(df: DataFrame, key: str, share: float, found: tuple[list, int] | None = None) -> DataFrame:
     """The keys that hold at least ``share`` of all rows, with exact counts: candidates from the sketch, counted by broadcast join."""
     heavy, total = found or heavy_hitters(df, key, share)
+    least = Fraction(str(share))  # compared in whole numbers
     hot, _ = split_by_weight(df.select(F.col(f"`{key}`").alias("__qs_k")), "__qs_k", heavy)
-    return hot.groupBy("__qs_k").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= F.lit(share) * F.lit(total)).select(F.col("__qs_k").alias(key), "rows")
+    return hot.groupBy("__qs_k").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") * least.denominator >= least.numerator * total).select(F.col("__qs_k").alias(key), "rows")
 
 
 def skew_join(fact: DataFrame, dim: DataFrame, key: str, dim_key: str, share: float = 0.01) -> DataFrame:

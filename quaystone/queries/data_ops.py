@@ -116,7 +116,8 @@ PROFILED = ("fact_stop_event", "dim_station", "dim_relation", "dim_date")
 
 
 def p6_profile(spark: SparkSession, d: str) -> DataFrame:
-    return metrics(reduce(DataFrame.unionByName, [value_counts(table(spark, d, t), t) for t in PROFILED]))
+    found = metrics(reduce(DataFrame.unionByName, [value_counts(table(spark, d, t), t) for t in PROFILED]))
+    return found.withColumns({c: F.round(c, 6) for c in ("null_rate", "entropy")})
 
 
 def p6_shift(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +126,7 @@ def p6_shift(spark: SparkSession, d: str) -> DataFrame:
     snap = table(spark, d, "dim_station_snapshot").drop("snapshot_date")
     columns = [c for c in snap.columns if c not in ("snapshot_no", "loaded_at")]
     station = value_counts(snap, "dim_station_snapshot", columns, by=F.lpad(F.col("snapshot_no").cast("string"), 8, "0"))
-    return load_shift(fact.unionByName(station))
+    return load_shift(fact.unionByName(station)).withColumns({c: F.round(c, 6) for c in ("null_rate", "shift")})
 
 
 QUERIES = {

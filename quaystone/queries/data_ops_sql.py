@@ -1,5 +1,7 @@
 """The same results in DuckDB SQL."""
 
+from quaystone import schema
+
 _P1 = """
 WITH latest AS (
   SELECT snapshot_no, station_key, arg_max({'n': station_name, 't': station_type}, loaded_at) AS s
@@ -41,7 +43,48 @@ _KEY = """SELECT '{k}' AS key_column, CAST({k} AS VARCHAR) AS key_value, count(*
 
 _PLACE = r"[^\s>→]([^>→]*[^\s>→])?"
 
+_NUMBERS = (schema.SHORT, schema.INT, schema.LONG, schema.DOUBLE)
+
+
+def _columns(name):
+    kinds = {c: k for c, (k, _, _) in schema.STAR["dim_station" if name == "dim_station_snapshot" else name].columns.items()}
+    return kinds | {"loaded_at": schema.TIME}
+
+
+def _as_text(column, kind):
+    return f"strftime({column} AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S')" if kind is schema.TIME else f"CAST({column} AS VARCHAR)"
+
+
+def _profile(name):
+    parts = []
+    for c, kind in _columns(name).items():
+        low, high = (f"CAST(min({c}) AS VARCHAR)", f"CAST(max({c}) AS VARCHAR)") if kind in _NUMBERS else ("min(v)", "max(v)")
+        parts.append(
+            f"""SELECT '{name}' AS table_name, '{c}' AS column_name, CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (WHERE v IS NULL), 0) AS BIGINT) AS nulls,
+            round(coalesce(sum(n) FILTER (WHERE v IS NULL), 0)::DOUBLE / sum(n), 6) AS null_rate, count(v) AS distinct_values, {low} AS min_value, {high} AS max_value,
+            round(ln(sum(n) FILTER (WHERE v IS NOT NULL)) - sum(n * ln(n)) FILTER (WHERE v IS NOT NULL) / sum(n) FILTER (WHERE v IS NOT NULL), 6) AS entropy, max(n) FILTER (WHERE v IS NOT NULL) AS top_count
+            FROM (SELECT {c}, {_as_text(c, kind)} AS v, count(*) AS n FROM {name} GROUP BY 1, 2)"""
+        )
+    return " UNION ALL ".join(parts)
+
+
+def _shift(name, columns, load):
+    return " UNION ALL ".join(
+        f"""SELECT * FROM (WITH c AS (SELECT load, v, count(*) AS n FROM (SELECT {load} AS load, {_as_text(c, k)} AS v FROM {name}) GROUP BY 1, 2),
+        t AS (SELECT load, CAST(sum(n) AS BIGINT) AS total, coalesce(sum(n) FILTER (WHERE v IS NULL), 0) AS nulls, lead(load) OVER (ORDER BY load) AS after, row_number() OVER (ORDER BY load) AS no FROM c GROUP BY 1),
+        s AS (SELECT load AS dl, v, n::DOUBLE / total AS p FROM c JOIN t USING (load) UNION ALL SELECT after, v, -n::DOUBLE / total FROM c JOIN t USING (load) WHERE after IS NOT NULL),
+        m AS (SELECT dl, sum(abs(d)) / 2 AS shift FROM (SELECT dl, v, sum(p) AS d FROM s GROUP BY 1, 2) GROUP BY 1)
+        SELECT '{name}' AS table_name, '{c}' AS column_name, t.load AS load, total AS rows, round(nulls::DOUBLE / total, 6) AS null_rate, CASE WHEN no > 1 THEN round(shift, 6) END AS shift FROM t JOIN m ON dl = t.load)"""
+        for c, k in columns.items()
+    )
+
+
+_WEEK = "CAST(CAST(date_trunc('week', date_key) AS DATE) AS VARCHAR)"
+_DELIVERY = "lpad(CAST(snapshot_no AS VARCHAR), 8, '0')"
+
 SQL = {
+    "p6_profile": " UNION ALL ".join(_profile(t) for t in ("fact_stop_event", "dim_station", "dim_relation", "dim_date")),
+    "p6_shift": _shift("fact_stop_event", _columns("fact_stop_event"), _WEEK) + " UNION ALL " + _shift("dim_station_snapshot", {c: k for c, k in _columns("dim_station_snapshot").items() if c != "loaded_at"}, _DELIVERY),
     "p1_found": _P1 + "SELECT * FROM found WHERE change_kind IS NOT NULL",
     "p1_counts": _P1 + "SELECT snapshot_no, change_kind, count(*) AS stations FROM found WHERE change_kind IS NOT NULL GROUP BY 1, 2",
     "p3_found": _P3 + "SELECT stg_id, ref_column, ref_status FROM found",
