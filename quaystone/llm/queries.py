@@ -21,10 +21,12 @@ CAPACITY = 2048
 
 def _daily_sketches(spark: SparkSession, d: str) -> DataFrame:
     """Sketches per metric, span name, route and day; requests that were logged twice (equal in every column) count once."""
-    trace = table(spark, d, "request_trace").distinct().withColumn("day", F.to_date("started_at"))
-    total = trace.select(F.lit("total_ms").alias("metric"), F.lit(None).cast("string").alias("span_name"), "route", "day", F.col("total_ms").alias("ms"))
-    spans = trace.select("route", "day", F.explode("spans").alias("span")).select(F.lit("duration_ms").alias("metric"), F.col("span.name").alias("span_name"), "route", "day", F.col("span.duration_ms").alias("ms"))
-    return sketches(total.unionByName(spans), ["metric", "span_name", "route", "day"], "ms")
+    columns = ["request_id", "started_at", "logged_at", "route", "total_ms", "spans"]
+    trace = table(spark, d, "request_trace").select(*columns).distinct()
+    one = F.struct(F.lit("total_ms").alias("metric"), F.lit(None).cast("string").alias("span_name"), F.col("total_ms").alias("ms"))
+    spans = F.transform(F.coalesce("spans", F.array().cast(trace.schema["spans"].dataType)), lambda s: F.struct(F.lit("duration_ms").alias("metric"), s["name"].alias("span_name"), s["duration_ms"].alias("ms")))
+    values = trace.select("route", F.to_date("started_at").alias("day"), F.explode(F.concat(F.array(one), spans)).alias("v"))
+    return sketches(values.select("v.metric", "v.span_name", "route", "day", "v.ms"), ["metric", "span_name", "route", "day"], "ms")
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
