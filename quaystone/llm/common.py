@@ -17,8 +17,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
-def spread(df: DataFrame, minimum_rows: int = 0) -> DataFrame:
-    """Deal the rows out over the cluster's cores if the scan has fewer partitions than that; else leave them where they are."""
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out over the cluster's cores if it has fewer partitions than that; else leave them where they are.
+
+    Only for scans and other plans without a shuffle: counting partitions plans the frame.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
 

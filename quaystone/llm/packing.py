@@ -143,7 +143,7 @@ def _to_bins(where: Sequence[int]) -> list[list[int]]:
     return list(bins.values())
 
 
-def _islands(shards: DataFrame, capacity: int, islands: int, epochs: int, seed: int) -> DataFrame:
+def _islands(shards: DataFrame, tasks: int, capacity: int, islands: int, epochs: int, seed: int) -> DataFrame:
     """The best assignment of each shard: islands evolve apart, their elites migrate to the next island between epochs."""
     elites = None
     for epoch in range(epochs):
@@ -164,7 +164,7 @@ def _islands(shards: DataFrame, capacity: int, islands: int, epochs: int, seed:
                         out.append((shard, island, rank, _to_array(p, len(sizes)), fitness(p, sizes, capacity)))
                 yield pd.DataFrame(out, columns=["shard", "island", "rank", "assigned", "fit"])
 
-        best = cut(spread(homes).mapInPandas(epoch_of, "shard long, island int, rank int, assigned array<int>, fit double"))
+        best = cut(homes.repartition(tasks).mapInPandas(epoch_of, "shard long, island int, rank int, assigned array<int>, fit double"))
         # Each island keeps its two best and receives its neighbour's best: at most three arrays a group.
         moved = best.where("rank = 0").withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int"))
         elites = best.unionByName(moved).groupBy("shard", "island").agg(F.collect_set("assigned").alias("elites"))
@@ -177,7 +177,9 @@ def _pack_once(items: DataFrame, capacity: int, shard_items: int, islands: int,
     # rand over a checkpointed table: the same after a lost executor, and even for equal rows.
     dealt = items.withColumn("shard", F.floor(F.rand(seed) * shards).cast("long"))
     grouped = cut(dealt.groupBy("shard").agg(F.collect_list(F.struct("row_key", "piece_no", "size")).alias("items")))
-    best = _islands(grouped.select("shard", F.col("items.size").alias("sizes")), capacity, islands, epochs, seed)
+    # A few islands a task, and enough tasks for all cores.
+    tasks = max(1, min(shards * islands, max(2 * items.sparkSession.sparkContext.defaultParallelism, shards * islands // 8)))
+    best = _islands(grouped.select("shard", F.col("items.size").alias("sizes")), tasks, capacity, islands, epochs, seed)
     placed = grouped.join(best, "shard").select("shard", F.explode(F.arrays_zip("items", "assigned")).alias("x"))
     return placed.select(F.concat(F.lit(tag), F.col("shard").cast("string"), F.lit("-"), F.col("x.assigned").cast("string")).alias("container_id"), "x.items.row_key", "x.items.piece_no", "x.items.size")
 
