@@ -64,14 +64,15 @@ def cut_points(text: str, core: int, least: int) -> list[int]:
     n, least = len(text), max(1, min(least, core))
     if n <= core:
         return [n]
-    hashes = rolling_hashes(text)
     levels = [_ends(p, text) for p in (_PARAGRAPH, _LINE, _SENTENCE, _BLANK)]
     cuts, at = [], 0
     while n - at > core:
         low, high = at + least, at + core
         if n - least >= low:
             high = min(high, n - least)  # leaves no short tail
-        landmark = low + int(np.argmin(hashes[low - 1 : high]))
+        # Only the reach of this cut is hashed: memory does not follow the length of the text.
+        first = max(0, low - WINDOW)
+        landmark = low + int(np.argmin(rolling_hashes(text[first:high])[low - 1 - first :]))
         cut = next((c for where in levels if (c := _nearest(where, low, high, landmark)) is not None), None)
         if cut is None:
             cut = landmark

@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quaystone.llm.splitting import cut_points, split_oversized, split_text
+from quaystone.llm.splitting import WINDOW, cut_points, rolling_hashes, split_oversized, split_text
 
 
 def _rebuilt(text, pieces):
@@ -25,6 +25,19 @@ def _prose(n, seed):
     return "\n\n".join(" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(6, 14))) + "." for _ in range(n))
 
 
+def test_hash_depends_on_the_window_only():
+    text = _prose(5, 3)
+    whole = rolling_hashes(text)
+    for first in (0, 7, 100):
+        part = rolling_hashes(text[first:])
+        assert (part[WINDOW - 1 :] == whole[first + WINDOW - 1 :]).all()
+
+
+def test_very_long_text():
+    pieces = split_text("x" * 1_000_000, 3000, 120, 0)
+    assert pieces[-1][1] == 1_000_000 and all(b - a <= 3000 for a, b, _ in pieces)
+
+
 def test_cuts_stand_at_natural_ends():
     text = _prose(80, 1)
     cuts = cut_points(text, 700, 120)[:-1]
