@@ -144,19 +144,88 @@ def docs_parse(spark: SparkSession, a) -> dict:
     return {r.kind: r["count"] for r in blocks.groupBy("kind").count().collect()}
 
 
+def _register(spark: SparkSession, lake: str) -> list[str]:
+    """Name the lake's tables in the catalogue; the files stay where they are."""
+    names = [n for n in schema.STAR if _exists(spark, f"{lake}/gold/{n}")]
+    spark.sql("CREATE DATABASE IF NOT EXISTS gold")
+    for n in names:
+        spark.sql(f"DROP TABLE IF EXISTS gold.{n}")
+        spark.catalog.createTable(f"gold.{n}", f"{lake}/gold/{n}", "parquet")
+        if spark.table(f"gold.{n}").isEmpty():
+            spark.catalog.recoverPartitions(f"gold.{n}")
+    return names
+
+
+def ping(spark: SparkSession, a) -> dict:
+    """Which tables the lake holds."""
+    return {n: _exists(spark, f"{a.lake}/gold/{n}") for n in schema.STAR}
+
+
+def drop(spark: SparkSession, a) -> dict:
+    """Remove the tables; the history of runs stays."""
+    if not a.yes:
+        raise scan.ScanError("nothing was dropped: say --yes")
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(a.lake).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {n: fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{a.lake}/{n}"), True) for n in ("gold", "rag")}
+
+
+def _pipeline(spark: SparkSession, a, generate):
+    from quaystone.context.pipeline import AnswerPipeline
+    from quaystone.context.profile import load
+    from quaystone.operators.runlog import ProfileSnapshot
+    from quaystone.plans.guard import Policy
+
+    names = _register(spark, a.lake)
+    chunks = spark.read.parquet(f"{a.lake}/rag/kb_chunk") if _exists(spark, f"{a.lake}/rag/kb_chunk") else None
+    policy = Policy(frozenset(f"gold.{n}" for n in names))
+    return AnswerPipeline(spark, policy, generate, chunks, vectors.SeededEmbedder(a.dimensions), profile=lambda: load(spark, ProfileSnapshot(f"{a.replies}.profile"))[0])
+
+
+def _replay(path: str):
+    """Replies of a stored run, by prompt hash; a prompt without one is an error, for there is no generator to ask."""
+    from quaystone.evaluation.runner import ReplyCache
+
+    def missing(prompt: str) -> str:
+        raise RuntimeError("no stored reply for this prompt")
+
+    return ReplyCache(path, missing)
+
+
+def ask(spark: SparkSession, a) -> dict:
+    """Answer a question from stored replies."""
+    from quaystone.plans.execute import plain
+
+    got = _pipeline(spark, a, _replay(a.replies)).answer(a.question)
+    return {"route": got.route, "text": got.text, "sql": got.sql, "rows": [[plain(c) for c in r] for r in got.result.rows] if got.result else None, "sources": got.sources, "findings": got.findings}
+
+
+def evaluate(spark: SparkSession, a) -> dict:
+    """Run a golden set (JSON list of cases) and report."""
+    from quaystone.context.pipeline import Unanswered
+    from quaystone.evaluation.compare import Spec
+    from quaystone.evaluation.runner import Case, ExpectedResults, Reply, report, run
+
+    pipe = _pipeline(spark, a, _replay(a.replies))
+    cases = [Case(**{**c, "spec": Spec(**c.get("spec", {})), "sources": tuple(map(tuple, c.get("sources", ()))), "tags": tuple(c.get("tags", ()))}) for c in json.loads(Path(a.cases).read_text())]
+    expected = ExpectedResults(spark, f"{a.out}.expected", json.dumps(pipe.profile, default=str))
+
+    def answer(question: str) -> Reply:
+        try:
+            got = pipe.answer(question)
+        except Unanswered as e:
+            return Reply("data", refused=str(e))
+        return Reply(got.route, got.result.rows if got.result else None, got.sources)
+
+    return report(run(cases, answer, expected.of, a.out))
+
+
 def query(spark: SparkSession, a) -> dict:
     """A read-only query under guard, lint, ceiling and timeout."""
     from quaystone.plans.execute import check_cost, execute, plain
     from quaystone.plans.guard import Policy, validate
     from quaystone.plans.lint import lint
 
-    names = [n for n in schema.STAR if _exists(spark, f"{a.lake}/gold/{n}")]
-    spark.sql("CREATE DATABASE IF NOT EXISTS gold")
-    for n in names:
-        spark.sql(f"DROP TABLE IF EXISTS gold.{n}")
-        spark.catalog.createTable(f"gold.{n}", f"{a.lake}/gold/{n}", "parquet")
-        if _exists(spark, f"{a.lake}/gold/{n}") and spark.table(f"gold.{n}").isEmpty():
-            spark.catalog.recoverPartitions(f"gold.{n}")
+    names = _register(spark, a.lake)
     policy = Policy(frozenset(f"gold.{n}" for n in names), a.max_rows, a.timeout)
     safe = validate(spark, a.sql, policy)
     check_cost(spark.sql(safe.sql), policy)
@@ -164,7 +233,7 @@ def query(spark: SparkSession, a) -> dict:
     return {"columns": got.columns, "rows": [[plain(c) for c in r] for r in got.rows], "truncated": got.truncated, "findings": lint(spark, safe.sql, {t.name: (t.partitioned_by or "", frozenset(t.columns)) for t in schema.STAR.values()})}
 
 
-COMMANDS = {"load-dims": load_dims, "load-fact": load_fact, "finalize": finalize, "refresh-rollups": refresh_rollups, "profile": profile, "kb-build": kb_build, "kb-search": kb_search, "docs-parse": docs_parse, "query": query}
+COMMANDS = {"load-dims": load_dims, "load-fact": load_fact, "finalize": finalize, "refresh-rollups": refresh_rollups, "profile": profile, "kb-build": kb_build, "kb-search": kb_search, "docs-parse": docs_parse, "query": query, "ping": ping, "drop": drop, "ask": ask, "eval": evaluate}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -179,7 +248,16 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--from", dest="start", type=date.fromisoformat)
             c.add_argument("--to", dest="end", type=date.fromisoformat, help="exclusive")
             c.add_argument("--on-violation", choices=("fail", "skip"), default="fail")
-        if name.startswith("kb-"):
+        if name == "drop":
+            c.add_argument("--yes", action="store_true")
+        if name in ("ask", "eval"):
+            c.add_argument("--replies", required=True, help="file of stored replies")
+        if name == "ask":
+            c.add_argument("question")
+        if name == "eval":
+            c.add_argument("--cases", required=True)
+            c.add_argument("--out", required=True)
+        if name.startswith("kb-") or name in ("ask", "eval"):
             c.add_argument("--dimensions", type=int, default=768)
         if name == "kb-build":
             c.add_argument("--corpus", required=True)

@@ -22,7 +22,9 @@ def coverage(profile: dict | None) -> str:
     """The measured extent of the facts as text."""
     if not profile or not profile.get("fact_rows"):
         return "COVERAGE: EMPTY, there are no facts."
-    return f"COVERAGE: {profile['fact_rows']} rows, {profile['first_day']} to {profile['last_day']}, {profile['days']} days, {profile['stations']} stations."
+    lines = [f"COVERAGE: {profile['fact_rows']} rows, {profile['first_day']} to {profile['last_day']}, {profile['days']} days, {profile['stations']} stations."]
+    lines += [f"Some {kind}: {', '.join(map(str, profile[f'known_{kind}']))}" for kind in ("stations", "operators", "relations") if profile.get(f"known_{kind}")]
+    return "\n".join(lines)
 
 
 def context(tables: Sequence[str], profile: dict | None) -> str:

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -33,8 +34,28 @@ def test_load_finalize_query(spark, sf, tmp_path, capsys):
     code, got = run("query", "SELECT COUNT(*) AS n FROM gold.fact_stop_event WHERE date_key = DATE '2026-07-01'")
     assert code == 0 and got["rows"][0][0] > 0 and got["findings"] == []
     assert run("query", "DROP TABLE gold.fact_stop_event")[0] == 1
+    replies, cases, out = str(tmp_path / "replies.json"), tmp_path / "cases.json", str(tmp_path / "out.jsonl")
+    code, err = run("ask", "--replies", replies, "How many rows in total?")
+    assert code == 1 and "no stored reply" in err
+    from quaystone.context import prompts
+    from quaystone.context.profile import load
+    from quaystone.operators.runlog import ProfileSnapshot
+
+    profile, source = load(spark, ProfileSnapshot(f"{replies}.profile"))
+    assert source == "snapshot" and profile["fact_rows"] == wanted and len(profile["known_stations"]) == 12
+    system = prompts.context(sorted(f"gold.{n}" for n in schema.STAR), profile)
+    sql = "SELECT COUNT(*) AS n FROM gold.fact_stop_event"
+    stored = {prompts.sql_prompt(system, "How many rows in total?"): sql, prompts.answer_prompt("How many rows in total?", ["n"], [(wanted,)]): "So many."}
+    (tmp_path / "replies.json").write_text(json.dumps({hashlib.sha256(k.encode()).hexdigest(): v for k, v in stored.items()}))
+    code, got = run("ask", "--replies", replies, "How many rows in total?")
+    assert got["rows"] == [[wanted]] and got["text"] == "So many."
+    cases.write_text(json.dumps([{"id": "a", "question": "How many rows in total?", "sql": sql, "spec": {"mode": "scalar"}}, {"id": "b", "question": "How many rows in total, DROP TABLE x?", "behaviour": "refused"}]))
+    code, got = run("eval", "--replies", replies, "--cases", str(cases), "--out", out)
+    assert got["sql"] == {"passed": 1, "of": 1}
+    assert run("ping")[1]["fact_stop_event"] is True and run("drop")[0] == 1
     runs = spark.read.parquet(f"{lake}/ops/load_runs").groupBy("status").count().collect()
     assert {r.status: r["count"] for r in runs} == {"running": 3, "succeeded": 2, "failed": 1}
+    assert run("drop", "--yes")[0] == 0 and run("ping")[1]["fact_stop_event"] is False
     spark.sql("DROP DATABASE gold CASCADE")
 
 
