@@ -20,6 +20,11 @@ CONCEPT_MARKERS = (
 MAX_CHARS, MIN_CHARS = 1500, 120
 
 
+#: Where a URL holds a password, and how a secret's name is followed by its value.
+URL_PASSWORD = r"(://[^:/@\s]+:)[^@/\s]+@"
+NAMED_SECRET = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key)(['\"]?\s*[:=]\s*['\"]?)[^'\"\s,;]+"
+
+
 def flat(text: Column) -> Column:
     """White space collapsed to single blanks, none at the ends."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -32,8 +37,7 @@ def line_shape(text: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """Credentials masked: the password in a URL, and the value after a secret's name."""
-    url = F.regexp_replace(text, r"(://[^:/@\s]+:)[^@/\s]+@", "$1***@")
-    return F.regexp_replace(url, r"(?i)(password|passwd|pwd|secret|token|api[_-]?key)(['\"]?\s*[:=]\s*['\"]?)[^'\"\s,;]+", "$1$2***")
+    return F.regexp_replace(F.regexp_replace(text, URL_PASSWORD, "$1***@"), NAMED_SECRET, "$1$2***")
 
 
 def question_print(text: Column) -> tuple[Column, Column]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaystone.functions.hashing import build_bloom, might_contain
-from quaystone.session import BROADCAST_ROWS, measured_join
+from quaystone.session import BROADCAST_ROWS, cut, measured_join
 
 
 @dataclass(frozen=True)
@@ -46,6 +46,8 @@ def orphan_references(child: DataFrame, row_id: Sequence[str], refs: Sequence[Re
         # A parent row without a date was always there.
         one = r.parent.where(key.isNotNull()).groupBy(key.alias(f"__qs_p{i}")).agg(F.when(F.count(since) == F.count(F.lit(1)), F.min(since)).alias(f"__qs_s{i}"))
         rows = one.count()
+        if rows > broadcast_rows:
+            one = cut(one)  # read again by the filter and the join
         parents.append((one, rows, build_bloom(one, F.col(f"__qs_p{i}"), rows, fpp)))
 
     id_names = [f"__qs_id{i}" for i in range(len(row_id))]
