@@ -105,7 +105,7 @@ def parse_name(text: str, at: int, relaxed: bool = False) -> int | None:
     return end
 
 
-_NUMBER = r"\d{1,4}(?:[A-Za-z](?![\p{L}\d]))?(?:[-/]\d{1,4}[A-Za-z]?(?![\p{L}\d]))?(?: (?:bis|ter|quater)(?!\p{L}))?"
+_NUMBER = r"\d{1,4}(?:[A-Za-z](?![\p{L}\d]))?(?:[-/]\d{1,4}[A-Za-z]?(?![\p{L}\d])){0,2}(?: (?:bis|ter|quater)(?!\p{L}))?"
 _BOX = r"(?:,? (?:bus|bte\.?|boîte|box|appt?\.?|apt\.?|Wohnung|Whg\.?|postbus) ?[\p{L}\d]{1,4}(?![\p{L}\d]))?"
 _CAP = rf"(?!J['’]habite)(?=\p{{Lu}}|[ÃÂ]){_LET}(?:{_LET}|['’])*(?:[-‐]{_LET}(?:{_LET}|['’])*)*"
 _PLACE = rf"(?=\p{{Lu}}|[ÃÂ]){_LET}+(?:['’-]{_LET}+)*(?: (?:(?:am|an der|aan de|aan den|op de|sur|sous|lez|les|upon|on|de|la|le) )?(?=\p{{Lu}}){_LET}+(?:['’-]{_LET}+)*(?![\p{{L}}:])){{0,2}}"
@@ -114,7 +114,7 @@ _POSTAL = rf"(?:{_JOIN}(?:[A-Z]{{1,3}}[-–] ?)?\d{{4,5}}{_BLANK}+{_PLACE})?"
 _BRITISH = rf"(?:{_JOIN}{_PLACE}{_BLANK}+[A-Z]{{1,2}}\d[A-Z\d]?{_BLANK}?\d[A-Z]{{2}}(?![\p{{L}}\d])|{_JOIN}(?:[A-Z]{{1,3}}[-–] ?)?\d{{4,5}}{_BLANK}+{_PLACE}|(?:,{_BLANK}*|{_BLANK}+[-–]{_BLANK}+){_PLACE})?"
 _FRENCH_TYPE = r"(?i:rue|avenue|av\.|boulevard|boul\.|bd\.?|place|quai|chauss\P{Zs}{1,2}e|impasse|all\P{Zs}{1,2}e|chemin|route|square|cours|passage|ruelle|clos|sentier|venelle|esplanade|faubourg|drève|cité|résidence|rond-point)"
 _FRENCH_NAME = rf"(?: (?:de la|de l['’]|de|du|des|d['’]|aux?|à la|la|le|les|l['’]))*(?: ?{_CAP})(?: (?:(?:de la|de|du|des|d['’]|aux?|et|la|le|les|sur|en) )*{_CAP}){{0,3}}"
-_NL_DE_SUFFIX = r"(?:straat|str\.|laan|weg|dreef|plein|lei|kaai|kade|steenweg|baan|hof|gracht|singel|dijk|markt|vest|stra(?:ß|ss|ÃŸ|Ÿ)e|gasse|platz|allee|ufer|damm|chaussee|(?<!k)ring|steig|stiege)"
+_NL_DE_SUFFIX = r"(?:[Ss]traat|[Ss]tr\.|[Ll]aan|[Ww]eg|[Dd]reef|[Pp]lein|[Ll]ei|[Kk]aai|[Kk]ade|[Ss]teenweg|[Bb]aan|[Hh]of|[Gg]racht|[Ss]ingel|[Dd]ijk|[Mm]arkt|[Vv]est|[Ss]tra(?:ß|ss|ÃŸ|Ÿ)e|[Gg]asse|[Pp]latz|[Aa]llee|[Uu]fer|[Dd]amm|[Cc]haussee|(?<!k)[Rr]ing|[Ss]teig|[Ss]tiege)"
 _EN_TYPE = r"(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Close|Terrace|Way|Avenue|Ave\.?|Drive|Court|Square|Row|Hill|Gardens|Crescent|Place|Mews|Walk|Grove|Quay|Yard|Parade|Green|Park|Gate|Wharf|Rise|View|Vale)"
 
 _ADDRESSES = [

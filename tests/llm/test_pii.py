@@ -15,6 +15,7 @@ CASES = [
     ("Numéro national 85.07.30-033.28 relevé. Rijksregisternummer 85073003328 werd genoteerd.", {("id_number", "85.07.30-033.28"), ("id_number", "85073003328")}),
     ("M. Jan Maes, carte B 145 040466 74, rue Haute 221.", {("person", "Jan Maes"), ("id_number", "B 145 040466 74"), ("address", "rue Haute 221")}),
     ("J'habite Oude Lindenstr. 20 bus 1 et je prends le train.", {("address", "Oude Lindenstr. 20 bus 1")}),
+    ("Terugbetaling naar Molenlaan 185-7/7, 9985 Aalst. Erstattung an Doktor-Koch-Straße 11a, D-52062 Aachen.", {("address", "Molenlaan 185-7/7, 9985 Aalst"), ("address", "Doktor-Koch-Straße 11a, D-52062 Aachen")}),
     ("lisa de wilde zag de slagboom openstaan.", {("person", "lisa de wilde")}),
     ("We spoke with Tom A. Reed and Okafor, Ada on the platform.", {("person", "Tom A. Reed"), ("person", "Okafor, Ada")}),
     ("Ping @control. Token 01018552805173 expired at 10:10. Reference 2646/140, 12/08/2026, version 9.18.46-549.", set()),
