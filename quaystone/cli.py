@@ -15,6 +15,7 @@ from quaystone import schema
 from quaystone.functions import text, vectors
 from quaystone.operators import merge, quality, rollups
 from quaystone.operators.runlog import RunLog
+from quaystone.session import ship_package
 from quaystone.sources import scan
 from quaystone.sources.scan import Scope
 
@@ -124,6 +125,7 @@ def kb_build(spark: SparkSession, a) -> dict:
     outcome = {r.outcome: r["count"] for r in merge.sync(stored, corpus).groupBy("outcome").count().collect()}
     if outcome.get("duplicate"):
         raise scan.ScanError("repeated positions in the corpus")
+    ship_package(spark)
     kept = corpus.join(stored, ["doc_id", "chunk_index", "content_hash"], "left")
     embed = F.udf(lambda h, c: embedder.embed([f"{h}\n\n{c}" if h else c])[0], "array<double>")
     merge.publish(kept.withColumn("embedding", F.coalesce("embedding", embed("heading", "content"))), path)
