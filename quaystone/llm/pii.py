@@ -129,6 +129,13 @@ _ADDRESSES = [
     # Flat 3, 12a High Street, Place AB1 2CD
     regex.compile(rf"(?<![\p{{L}}\d.,/-])(?:(?:Flat|Unit|Apt\.?|Apartment|Suite|Room|Floor){_BLANK}+[\p{{L}}\d]{{1,4}},?{_BLANK}+)?{_NUMBER},?{_BLANK}+(?:{_CAP}{_BLANK}+){{1,4}}{_EN_TYPE}(?!\p{{L}}){_BRITISH}"),
 ]
+#: A text without the anchor holds no address of these forms: a street type, beside a number where it must be.
+_ADDRESS_ANCHORS = [
+    (regex.compile(rf"(?<!\p{{L}}){_FRENCH_TYPE} "), _ADDRESSES[:2]),
+    (regex.compile(rf"{_NL_DE_SUFFIX}{_BLANK}+\d"), _ADDRESSES[2:4]),
+    (regex.compile(rf"(?<!\p{{L}})(?:Am|An|Im|In|Zum|Zur|Auf|Unter|Hinter|Beim|Bei|Vor){_BLANK}"), _ADDRESSES[4:5]),
+    (regex.compile(rf"{_BLANK}{_EN_TYPE}(?!\p{{L}})"), _ADDRESSES[5:]),
+]
 #: What stands between these words is an address if it holds a number and a capital.
 _ADDRESS_FRAMES = regex.compile(
     rf"(?:(?:Ik woon (?:in de |in het |op de |in |aan de )|J['’]habite (?:au |à |à la )?|Ich wohne (?:in der |im |in |an der )?|I live (?:at|in) )(?P<a>[^\n.;]{{6,110}}?(?:\n[^\n.;]{{6,60}}?)?)(?= en neem| et je prends| und fahre| and take))"
@@ -162,6 +169,7 @@ _ID_LABEL = regex.compile(
     r"pass(?:port|eport)|paspoort|reisepass|rijbewijs|permis(?: de conduire)?|(?:driving )?licen[cs]e|f(?:ü|Ã¼)hrerschein|insz|niss|bsn|numÃ©ro national)(?: (?:no|nr|nummer|number|n°)\.?)?[\s:#°.]*$",
     regex.I,
 )
+_ID_NAMED = regex.compile(r"(?i)(?:passport|paspoort|passeport|reisepass|rijbewijs|permis de conduire|driving licence|führerschein|rijksregisternummer|numéro national|national number|ausweisnummer|identity document)(?:nummer| (?:no|nr|n°|number|nummer)\.?)?[\s:]{1,3}")
 _ID_ANY = regex.compile(r"[A-Z\d](?=[A-Z\d<.\- ]*\d)[A-Z\d<]*(?:(?: ?[.\-] ?| )[A-Z\d<]*\d[A-Z\d<]*)*")
 
 
@@ -241,7 +249,7 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
         yield m.start(), end
 
 
-def _ids(text: str) -> Iterator[tuple[int, int]]:
+def _ids(text: str, labelled_somewhere: bool) -> Iterator[tuple[int, int]]:
     for m in _ID.finditer(text):
         before = text[max(0, m.start() - 45) : m.start()]
         labelled = bool(_ID_LABEL.search(before))
@@ -252,16 +260,18 @@ def _ids(text: str) -> Iterator[tuple[int, int]]:
                 continue
         if labelled or (_ID_PLAIN.fullmatch(m.group(0)) and not _NO_PHONE.search(before)):
             yield m.start(), m.end()
-    for m in regex.finditer(r"(?i)(?:passport|paspoort|passeport|reisepass|rijbewijs|permis de conduire|driving licence|führerschein|rijksregisternummer|numéro national|national number|ausweisnummer|identity document)(?:nummer| (?:no|nr|n°|number|nummer)\.?)?[\s:]{1,3}", text):
+    for m in _ID_NAMED.finditer(text) if labelled_somewhere else ():
         any_id = _ID_ANY.match(text, m.end())
         if any_id and sum(c.isdigit() for c in any_id.group(0)) >= 6:
             yield any_id.start(), any_id.end()
 
 
 def _addresses(text: str) -> Iterator[tuple[int, int]]:
-    for pattern in _ADDRESSES:
-        for m in pattern.finditer(text):
-            yield m.start(), m.end()
+    for anchor, patterns in _ADDRESS_ANCHORS:
+        if anchor.search(text):
+            for pattern in patterns:
+                for m in pattern.finditer(text):
+                    yield m.start(), m.end()
     for m in _ADDRESS_FRAMES.finditer(text):
         found = m["a"]
         if any(c.isdigit() for c in found) and any(c.isupper() for c in found):
@@ -342,7 +352,7 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
     if any(c.isdigit() for c in text):
         if "phone" in present:
             found += [(a, b, "phone") for a, b in _phones(text)]
-        numbers = list(_ids(text))
+        numbers = list(_ids(text, "id" in present))
         found += [(a, b, "id_number") for a, b in numbers]
         # The end of an id number is no house number.
         found += [(a, b, "address") for a, b in _addresses(text) if not any(c < a < e for c, e in numbers)]
