@@ -413,6 +413,19 @@ def w5_sync(spark, d):
     return merge.sync(stored, kb.where("chunk_index % 4 <> 0")).groupBy("outcome").agg(F.count(F.lit(1)).alias("positions"))
 
 
+def sync_sides(kb):
+    """A store and its corpus, each with every row of ``kb``: the corpus hashed anew; the store as it stood, every fifth hash stale, and
+    a quarter of the documents a section further down, so that their first position is new and their last is gone."""
+    corpus = kb.select("doc_id", "chunk_index", text.content_hash(F.col("heading"), F.col("content")).alias("content_hash"))
+    moved = (F.md5("doc_id") < "4").cast("int")
+    hashed = F.when(F.col("chunk_index") % 5 == 0, F.lit("stale")).otherwise(F.col("content_hash"))
+    return kb.select("doc_id", (F.col("chunk_index") + moved).alias("chunk_index"), hashed.alias("content_hash")), corpus
+
+
+def w5_sync_whole(spark, d):
+    return merge.sync(*sync_sides(_kb(spark, d))).groupBy("outcome").agg(F.count(F.lit(1)).alias("positions"))
+
+
 def w8_month_partitions(spark, d):
     return merge.month_partitions(spark, date(2026, 6, 1), date(2026, 8, 29))
 

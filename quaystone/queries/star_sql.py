@@ -134,6 +134,9 @@ SQL = {
     + f"SELECT date_key, CAST(CASE WHEN punctual_arrivals IS NULL THEN 0 ELSE 1 END AS SMALLINT) AS measured_arrivals, count(*) AS rows, CAST(sum(punctual_arrivals) AS BIGINT) AS punctual FROM flags WHERE {VALID} AND date_key >= DATE '2026-08-10' AND date_key < DATE '2026-08-20' GROUP BY 1, 2",
     "w5_sync": """WITH s AS (SELECT doc_id, chunk_index, CASE WHEN chunk_index % 5 = 0 THEN 'stale' ELSE content_hash END AS h FROM kb_chunk WHERE chunk_index % 7 <> 0), c AS (SELECT doc_id, chunk_index, content_hash AS h FROM kb_chunk WHERE chunk_index % 4 <> 0)
       SELECT CASE WHEN c.doc_id IS NULL THEN 'deleted' WHEN s.doc_id IS NULL THEN 'inserted' WHEN s.h IS DISTINCT FROM c.h THEN 'updated' ELSE 'unchanged' END AS outcome, count(*) AS positions FROM s FULL JOIN c ON s.doc_id = c.doc_id AND s.chunk_index = c.chunk_index GROUP BY 1""",
+    "w5_sync_whole": """WITH s AS (SELECT doc_id, chunk_index + CASE WHEN md5(doc_id) < '4' THEN 1 ELSE 0 END AS chunk_index, CASE WHEN chunk_index % 5 = 0 THEN 'stale' ELSE content_hash END AS h FROM kb_chunk),
+      c AS (SELECT doc_id, chunk_index, sha256(concat_ws(chr(10) || chr(10), nullif(heading, ''), content)) AS h FROM kb_chunk)
+      SELECT CASE WHEN c.doc_id IS NULL THEN 'deleted' WHEN s.doc_id IS NULL THEN 'inserted' WHEN s.h IS DISTINCT FROM c.h THEN 'updated' ELSE 'unchanged' END AS outcome, count(*) AS positions FROM s FULL JOIN c ON s.doc_id = c.doc_id AND s.chunk_index = c.chunk_index GROUP BY 1""",
     "w8_month_partitions": "SELECT strftime(m, 'p%Y_%m') AS partition_name, CAST(m AS DATE) AS start_day, CAST(m + INTERVAL 1 MONTH AS DATE) AS end_day FROM (SELECT unnest(generate_series(TIMESTAMP '2026-06-01', TIMESTAMP '2026-08-01', INTERVAL 1 MONTH)) AS m)",
     "w8_outside_partitions": "SELECT stg_id FROM stg_fact_stop_event WHERE date_key < DATE '2026-08-01' OR date_key >= DATE '2026-09-01' OR date_key IS NULL",
     "c6_existing_partitions": "SELECT DISTINCT strftime(date_key, 'p%Y_%m') AS partition_name FROM fact_stop_event",
