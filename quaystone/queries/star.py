@@ -364,6 +364,10 @@ def u1_union(spark, d):
     return a.union(b).distinct()
 
 
+def u1_union_whole(spark, d):
+    return _fact(spark, d).select("station_key").union(_stg(spark, d).select("station_key")).distinct()
+
+
 def u1_union_all(spark, d):
     a = _station(spark, d).select(F.lit("station").alias("kind"), F.col("station_type").alias("label"))
     b = _relation(spark, d).select(F.lit("relation").alias("kind"), F.col("operator").alias("label"))
@@ -376,6 +380,11 @@ def u2_multiset_difference(spark, d):
     return b.exceptAll(a).groupBy("station_key", "planned_hour").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def u2_multiset_difference_whole(spark, d):
+    a, b = _fact(spark, d).select("station_key", "planned_hour"), _stg(spark, d).select("station_key", "planned_hour")
+    return b.exceptAll(a).groupBy("station_key", "planned_hour").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def _deliveries(spark, d):
     """The first and the last delivery, each station once."""
     snap = table(spark, d, "dim_station_snapshot")

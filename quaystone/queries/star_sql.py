@@ -124,8 +124,10 @@ SQL = {
     "l6_nearest": NEAR + "SELECT vec_id, label, round(s, 6) AS similarity FROM sim ORDER BY s DESC, vec_id LIMIT 5",
     "l8_pending_chunks": "SELECT doc_id, chunk_index, length(content) AS chars FROM kb_chunk WHERE content_hash IS NULL",
     "u1_union": "SELECT station_key FROM fact_stop_event WHERE date_key < DATE '2026-06-05' UNION SELECT station_key FROM stg_fact_stop_event WHERE date_key >= DATE '2026-08-25'",
+    "u1_union_whole": "SELECT station_key FROM fact_stop_event UNION SELECT station_key FROM stg_fact_stop_event",
     "u1_union_all": "SELECT kind, label, count(*) AS rows FROM (SELECT 'station' AS kind, station_type AS label FROM dim_station UNION ALL SELECT 'relation', operator FROM dim_relation) GROUP BY 1, 2",
     "u2_multiset_difference": "SELECT station_key, planned_hour, count(*) AS rows FROM (SELECT station_key, planned_hour FROM stg_fact_stop_event WHERE planned_hour < 6 EXCEPT ALL SELECT station_key, planned_hour FROM fact_stop_event WHERE planned_hour < 6) GROUP BY 1, 2",
+    "u2_multiset_difference_whole": "SELECT station_key, planned_hour, count(*) AS rows FROM (SELECT station_key, planned_hour FROM stg_fact_stop_event EXCEPT ALL SELECT station_key, planned_hour FROM fact_stop_event) GROUP BY 1, 2",
     "w1_upsert": _ENDS + "SELECT station_key, v.n AS station_name, v.t AS station_type, outcome FROM up",
     "w1_upsert_counts": _ENDS + "SELECT outcome, count(*) AS stations FROM up GROUP BY 1",
     "w2_replace_scope": FLAGS

@@ -1,5 +1,7 @@
 """Registered queries that take whole tables: nothing is left out before the operator sees it."""
 
+from collections import Counter
+
 from quaystone.queries import star
 from quaystone.session import table
 
@@ -12,3 +14,14 @@ def test_sync_holds_every_position(spark, sf):
     assert {tuple(r)[:2] for r in corpus.collect()} == positions
     got = {r.outcome: r.positions for r in star.w5_sync_whole(spark, sf).collect()}
     assert set(got) == {"inserted", "updated", "unchanged", "deleted"} and sum(got.values()) - got["deleted"] == len(positions)
+
+
+def test_set_operations_hold_every_row(spark, sf):
+    fact, stg = table(spark, sf, "fact_stop_event"), table(spark, sf, "stg_fact_stop_event")
+    stations = {r[0] for x in (fact, stg) for r in x.select("station_key").collect()}
+    got = [r.station_key for r in star.u1_union_whole(spark, sf).collect()]
+    assert len(got) == len(stations) and set(got) == stations
+    pairs = [Counter(map(tuple, x.select("station_key", "planned_hour").collect())) for x in (stg, fact)]
+    want = pairs[0] - pairs[1]
+    assert {tuple(r)[:2]: r.rows for r in star.u2_multiset_difference_whole(spark, sf).collect()} == want
+    assert any(hour is None or hour >= 6 for _, hour in want)
