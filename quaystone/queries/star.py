@@ -112,6 +112,12 @@ def _query_vector(spark, d):
     return list(table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0])
 
 
+def _nearest_set(spark, d, k, **how):
+    """Every vector whose id is divisible by 50 is a query, against all vectors."""
+    e = table(spark, d, "embeddings")
+    return vectors.nearest_set(e, e.where("vec_id % 50 = 0"), "embedding", k, "vec_id", **how)
+
+
 def f9_excluded_before_limit(spark, d):
     e = table(spark, d, "embeddings")
     near = vectors.nearest(e, "embedding", _query_vector(spark, d), 10, ["vec_id"], exclude=F.col("label").isin(0, 1))
@@ -123,6 +129,15 @@ def f10_floor_after_top(spark, d):
     return near.where("kept").select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+def f9_excluded_before_limit_set(spark, d):
+    near = _nearest_set(spark, d, 10, exclude=F.col("label").isin(0, 1), keep=["label"])
+    return near.select("query_id", "vec_id", "label", F.round("similarity", 6).alias("similarity"))
+
+
+def f10_floor_after_top_set(spark, d):
+    return _nearest_set(spark, d, 20, floor=0.3).where("kept").select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 def f11_coverage_tests(spark, d):
     c = _fact(spark, d).agg(F.min("date_key").alias("a"), F.max("date_key").alias("b"))
     day, past = F.lit(date(2026, 7, 15)), F.lit(date(2019, 3, 1))
@@ -351,6 +366,10 @@ def l6_nearest(spark, d):
     return near.select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
 
 
+def l6_nearest_set(spark, d):
+    return _nearest_set(spark, d, 5, keep=["label"]).select("query_id", "vec_id", "label", F.round("similarity", 6).alias("similarity"))
+
+
 def l8_pending_chunks(spark, d):
     return _kb(spark, d).where("content_hash IS NULL").orderBy("doc_id", "chunk_index").select("doc_id", "chunk_index", F.length("content").alias("chars"))
 
@@ -507,6 +526,12 @@ def v3_two_rankings(spark, d):
     return every.unionByName(inner)
 
 
+def v3_two_rankings_set(spark, d):
+    every = _nearest_set(spark, d, 5).select("query_id", F.lit("all").alias("scope"), "vec_id")
+    inner = _nearest_set(spark, d, 5, exclude=F.col("label") != 2).select("query_id", F.lit("label 2").alias("scope"), "vec_id")
+    return every.unionByName(inner)
+
+
 def v4_widths(spark, d):
     return vectors.widths(table(spark, d, "embeddings"), "embedding", 64)
 
@@ -521,6 +546,10 @@ def c10_floor_shown(spark, d):
     return near.select("vec_id", F.round("similarity", 6).alias("similarity"), "kept")
 
 
+def c10_floor_shown_set(spark, d):
+    return _nearest_set(spark, d, 12, floor=0.35).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "kept")
+
+
 # --- evaluation ----------------------------------------------------------------------------------------------------------
 
 

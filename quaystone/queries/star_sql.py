@@ -41,6 +41,12 @@ def _marks(phrases):
 
 _Q = "SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0"
 NEAR = f"WITH sim AS (SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS s FROM embeddings, ({_Q})) "
+def _near_set(k, where="true"):
+    """The k nearest to every vector whose id is divisible by 50."""
+    return f"""(SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND {where})
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= {k})"""
+
+
 REQUESTS = "(SELECT DISTINCT * FROM request_trace)"
 FLAT = r"trim(regexp_replace({0}, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 SHAPE = r"regexp_replace(lower(trim(regexp_replace({0}, '[ \t\n\x0B\f\r]+', ' ', 'g'))), '[0-9]+', '#', 'g')"
@@ -72,6 +78,8 @@ SQL = {
     "f7_distinct_from": "SELECT planned_hour, count(*) AS rows FROM fact_stop_event WHERE delay_arr_s IS DISTINCT FROM delay_dep_s GROUP BY 1",
     "f8_positions_absent": "SELECT doc_id, chunk_index FROM kb_chunk k WHERE NOT EXISTS (SELECT 1 FROM kb_chunk x WHERE x.chunk_index < 3 AND x.doc_id = k.doc_id AND x.chunk_index = k.chunk_index)",
     "f9_excluded_before_limit": NEAR + "SELECT vec_id, label, round(s, 6) AS similarity FROM sim WHERE label NOT IN (0, 1) ORDER BY s DESC, vec_id LIMIT 10",
+    "f9_excluded_before_limit_set": f"SELECT query_id, vec_id, label, round(s, 6) AS similarity FROM {_near_set(10, 'e.label NOT IN (0, 1)')}",
+    "f10_floor_after_top_set": f"SELECT query_id, vec_id, round(s, 6) AS similarity FROM {_near_set(20)} WHERE s >= 0.3",
     "f10_floor_after_top": NEAR + "SELECT vec_id, round(s, 6) AS similarity FROM (SELECT * FROM sim ORDER BY s DESC, vec_id LIMIT 20) WHERE s >= 0.3",
     "f11_coverage_tests": "SELECT min(date_key) <= DATE '2026-07-15' AND max(date_key) >= DATE '2026-07-15' AS covers_july, min(date_key) <= DATE '2019-03-01' AND max(date_key) >= DATE '2019-03-01' AS covers_2019, min(date_key) <= DATE '2026-12-31' AND max(date_key) >= DATE '2026-08-01' AS overlaps_autumn FROM fact_stop_event",
     "j1_station_rate": f"SELECT station_name, CAST(sum(punctual_arrivals) AS BIGINT) AS punctual, CAST(sum(measured_arrivals) AS BIGINT) AS measured, {RATE} AS rate FROM fact_stop_event JOIN dim_station USING (station_key) WHERE {JULY} GROUP BY 1",
@@ -122,6 +130,7 @@ SQL = {
     "l2_active_stations": "SELECT station_key, station_name, observed_stop_events FROM dim_station WHERE station_key <> -1 AND station_name IS NOT NULL ORDER BY observed_stop_events DESC NULLS LAST, station_key LIMIT 12",
     "l3_operators": "SELECT DISTINCT operator FROM dim_relation WHERE operator IS NOT NULL ORDER BY 1 LIMIT 12",
     "l6_nearest": NEAR + "SELECT vec_id, label, round(s, 6) AS similarity FROM sim ORDER BY s DESC, vec_id LIMIT 5",
+    "l6_nearest_set": f"SELECT query_id, vec_id, label, round(s, 6) AS similarity FROM {_near_set(5)}",
     "l8_pending_chunks": "SELECT doc_id, chunk_index, length(content) AS chars FROM kb_chunk WHERE content_hash IS NULL",
     "u1_union": "SELECT station_key FROM fact_stop_event WHERE date_key < DATE '2026-06-05' UNION SELECT station_key FROM stg_fact_stop_event WHERE date_key >= DATE '2026-08-25'",
     "u1_union_whole": "SELECT station_key FROM fact_stop_event UNION SELECT station_key FROM stg_fact_stop_event",
@@ -157,9 +166,11 @@ SQL = {
     "d4_running_lines": f"""WITH l AS (SELECT doc_id, chunk_index, unnest(string_split(content, chr(10))) AS line FROM kb_chunk), t AS (SELECT doc_id, count(DISTINCT chunk_index) AS total FROM l GROUP BY 1),
       s AS (SELECT doc_id, {SHAPE.format('line')} AS shape, count(DISTINCT chunk_index) AS pages FROM l GROUP BY 1, 2) SELECT doc_id, shape, pages FROM s JOIN t USING (doc_id) WHERE shape <> '' AND pages >= greatest(2, floor(total * 0.5))""",
     "v3_two_rankings": NEAR + "SELECT 'all' AS scope, vec_id FROM (SELECT * FROM sim ORDER BY s DESC, vec_id LIMIT 5) UNION ALL SELECT 'label 2', vec_id FROM (SELECT * FROM sim WHERE label = 2 ORDER BY s DESC, vec_id LIMIT 5)",
+    "v3_two_rankings_set": f"SELECT query_id, 'all' AS scope, vec_id FROM {_near_set(5)} UNION ALL SELECT query_id, 'label 2', vec_id FROM {_near_set(5, 'e.label = 2')}",
     "v4_widths": "SELECT len(embedding) AS width, count(*) AS rows, len(embedding) = 64 AS fits FROM embeddings WHERE embedding IS NOT NULL GROUP BY 1",
     "v5_pending": "SELECT label, count(*) AS rows FROM embeddings WHERE label < 5 GROUP BY 1",
     "c10_floor_shown": NEAR + "SELECT vec_id, round(s, 6) AS similarity, s >= 0.35 AS kept FROM (SELECT * FROM sim ORDER BY s DESC, vec_id LIMIT 12)",
+    "c10_floor_shown_set": f"SELECT query_id, vec_id, round(s, 6) AS similarity, s >= 0.35 AS kept FROM {_near_set(12)}",
     "e3_hits": _HITS + "SELECT * FROM hits",
     "e8_report": _HITS + "SELECT round(avg(CAST(hit AS DOUBLE)), 6) AS hit_rate, round(avg(reciprocal_rank), 6) AS mrr, count(*) AS cases FROM hits",
 }

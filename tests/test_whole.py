@@ -1,7 +1,11 @@
 """Registered queries that take whole tables: nothing is left out before the operator sees it."""
 
+import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from quaystone.functions import vectors
 from quaystone.queries import star
 from quaystone.session import table
 
@@ -25,3 +29,28 @@ def test_set_operations_hold_every_row(spark, sf):
     want = pairs[0] - pairs[1]
     assert {tuple(r)[:2]: r.rows for r in star.u2_multiset_difference_whole(spark, sf).collect()} == want
     assert any(hour is None or hour >= 6 for _, hour in want)
+
+
+def test_search_answers_every_query(spark, sf):
+    asked = {r.vec_id for r in table(spark, sf, "embeddings").where("vec_id % 50 = 0").collect()}
+    assert len(asked) > 1
+    got = Counter(r.query_id for r in star.l6_nearest_set(spark, sf).collect())
+    assert got == dict.fromkeys(asked, 5)
+
+
+def test_nearest_set_equals_nearest(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 7)
+    monkeypatch.setattr(vectors, "_STRIP", 4)
+    rng = random.Random(1)
+    some = [(i, [float(rng.randint(-2, 2)) for _ in range(3)], i % 3) for i in range(60)]
+    df = spark.createDataFrame([*some, (60, None, 0), (61, [0.0, 0.0, 0.0], 0), (62, [1.0, None, 0.0], 0), (63, [1.0, 2.0], 0), (64, [1.0, 2.0], 1)], "id int, v array<float>, label int")
+    got = vectors.nearest_set(df, df.where("id % 5 = 0 OR id > 60"), "v", 6, "id", exclude=F.col("label") == 2, floor=0.9, keep=["label"])
+    rows = {}
+    for r in got.collect():
+        rows.setdefault(r.query_id, []).append((-r.similarity, r.id, r.label, r.kept))
+    asked = [(i, v) for i, v, _ in some if i % 5 == 0 and any(v)] + [(63, [1.0, 2.0]), (64, [1.0, 2.0])]
+    assert set(rows) == {i for i, _ in asked}
+    for i, v in asked[::4] + asked[-2:]:
+        near = vectors.nearest(df, "v", v, 6, ["id"], exclude=F.col("label") == 2, floor=0.9).collect()
+        assert sorted(rows[i]) == [(-r.similarity, r.id, r.label, r.kept) for r in near]
