@@ -493,6 +493,10 @@ def t8_redact(spark, d):
     return docs.select("doc_id", text.redact(line).alias("line"))
 
 
+def t8_redact_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.redact(F.col("text")).alias("text"))
+
+
 def t9_question_print(spark, d):
     e = table(spark, d, "eval_item")
     h, n = text.question_print(F.col("item_text"))

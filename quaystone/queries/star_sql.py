@@ -48,6 +48,7 @@ def _near_set(k, where="true"):
 
 
 REQUESTS = "(SELECT DISTINCT * FROM request_trace)"
+_BLANK = r" \t\n\x0B\f\r"
 FLAT = r"trim(regexp_replace({0}, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 SHAPE = r"regexp_replace(lower(trim(regexp_replace({0}, '[ \t\n\x0B\f\r]+', ' ', 'g'))), '[0-9]+', '#', 'g')"
 _ENDS = """WITH ends AS (SELECT min(snapshot_no) AS a, max(snapshot_no) AS b FROM dim_station_snapshot),
@@ -157,6 +158,8 @@ SQL = {
     "t5_content_hash": "SELECT doc_id, chunk_index, sha256(concat_ws(chr(10) || chr(10), nullif(heading, ''), content)) AS content_hash FROM kb_chunk",
     "t7_flat_headings": f"SELECT {SHAPE.format('heading')} AS shape, count(*) AS rows FROM kb_chunk WHERE heading IS NOT NULL GROUP BY 1",
     "t8_redact": "SELECT doc_id, 'postgres://svc:***@db/x token=***; api_key: ''***''' AS line FROM documents",
+    "t8_redact_texts": rf"""SELECT doc_id, regexp_replace(regexp_replace(text, '(://[^:/@{_BLANK}]+:)[^@/{_BLANK}]+@', '\1***@', 'g'),
+      '(password|passwd|pwd|secret|token|api[_-]?key)([''"]?[{_BLANK}]*[:=][{_BLANK}]*[''"]?)[^''"{_BLANK},;]+', '\1\2***', 'gi') AS text FROM documents""",
     "t9_question_print": "SELECT item_id, left(sha256(item_text), 12) AS question_hash, CAST(length(item_text) AS INTEGER) AS question_length FROM eval_item",
     "t10_route": f"""WITH m AS (SELECT item_id, item_text, {_marks(DATA_MARKERS)} AS data, {_marks(CONCEPT_MARKERS)} AS concept FROM eval_item),
       n AS (SELECT *, data + CASE WHEN regexp_matches(item_text, '\\b(19|20)[0-9]{{2}}\\b') THEN 1 ELSE 0 END AS dated FROM m)

@@ -6,8 +6,9 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from quaystone.functions import vectors
-from quaystone.queries import star
+from quaystone.queries import star, star_sql
 from quaystone.session import table
+from tests.against_sql import check, connect
 
 
 def test_sync_holds_every_position(spark, sf):
@@ -54,3 +55,13 @@ def test_nearest_set_equals_nearest(spark, monkeypatch):
     for i, v in asked[::4] + asked[-2:]:
         near = vectors.nearest(df, "v", v, 6, ["id"], exclude=F.col("label") == 2, floor=0.9).collect()
         assert sorted(rows[i]) == [(-r.similarity, r.id, r.label, r.kept) for r in near]
+
+
+def test_redact_reads_the_texts(spark, tmp_path):
+    long = "x " * 20_000
+    texts = ["plain", long + "postgres://u:hidden@h/db and token = abc; " + long, "Token-ring, secret: 'x'\nhttp://a:b@c", "secretary: at 12:30 @ desk", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in star.t8_redact_texts(spark, str(tmp_path)).collect()}
+    assert got == {0: "plain", 1: long + "postgres://u:***@h/db and token = ***; " + long, 2: "Token-ring, secret: '***'\nhttp://a:***@c", 3: "secretary: at 12:30 @ desk", 4: None}
+    con = connect(str(tmp_path))
+    check(spark, con, str(tmp_path), star.t8_redact_texts, star_sql.SQL["t8_redact_texts"])
