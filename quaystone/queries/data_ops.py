@@ -121,9 +121,10 @@ def p6_profile(spark: SparkSession, d: str) -> DataFrame:
     fact = table(spark, d, "fact_stop_event")
     last = fact.agg(F.date_trunc("week", F.max("date_key")).cast("date").alias("w")).first()["w"]
     recent = F.col("date_key") >= F.lit(last)
+    history = ~recent | F.col("date_key").isNull()
     ensure_checkpoint_dir(spark)
     store = ValueCountStore(spark, f"{spark.sparkContext.getCheckpointDir()}/value-counts-{uuid.uuid4()}")
-    store.apply("history", value_counts(fact.where(~recent), "fact_stop_event"), *[value_counts(table(spark, d, t), t) for t in PROFILED[1:]])
+    store.apply("history", value_counts(fact.where(history), "fact_stop_event"), *[value_counts(table(spark, d, t), t) for t in PROFILED[1:]])
     state = store.apply("last-week", value_counts(fact.where(recent), "fact_stop_event"))
     return metrics(state).withColumns({c: F.round(c, 6) for c in ("null_rate", "entropy")})
 

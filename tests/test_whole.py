@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from quaystone.functions import vectors
-from quaystone.queries import star, star_sql
+from quaystone.queries import data_ops, star, star_sql
 from quaystone.session import table
 from tests.against_sql import check, connect
 
@@ -65,3 +65,13 @@ def test_redact_reads_the_texts(spark, tmp_path):
     assert got == {0: "plain", 1: long + "postgres://u:***@h/db and token = ***; " + long, 2: "Token-ring, secret: '***'\nhttp://a:***@c", 3: "secretary: at 12:30 @ desk", 4: None}
     con = connect(str(tmp_path))
     check(spark, con, str(tmp_path), star.t8_redact_texts, star_sql.SQL["t8_redact_texts"])
+
+
+def test_profile_counts_rows_without_a_day(spark, sf, tmp_path):
+    for t in ("dim_station", "dim_relation", "dim_date"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
+    fact = table(spark, sf, "fact_stop_event")
+    undated = fact.limit(5).withColumn("date_key", F.lit(None).cast("date"))
+    fact.unionByName(undated).write.parquet(str(tmp_path / "fact_stop_event.parquet"))
+    got = [r for r in data_ops.p6_profile(spark, str(tmp_path)).collect() if r.table_name == "fact_stop_event"]
+    assert {r.rows for r in got} == {fact.count() + 5} and {r.nulls for r in got if r.column_name == "date_key"} == {5}
