@@ -138,6 +138,12 @@ def p6_shift(spark: SparkSession, d: str) -> DataFrame:
     return load_shift(fact.unionByName(station)).withColumns({c: F.round(c, 6) for c in ("null_rate", "shift")})
 
 
+def p6_shift_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    """Shift of every column of the relations and the calendar between the days on which their rows were loaded."""
+    parts = [value_counts(table(spark, d, t), t, by=F.to_date("loaded_at").cast("string")) for t in ("dim_relation", "dim_date")]
+    return load_shift(reduce(DataFrame.unionByName, parts)).withColumns({c: F.round(c, 6) for c in ("null_rate", "shift")})
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
@@ -149,4 +155,5 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_profile": p6_profile,
     "p6_shift": p6_shift,
+    "p6_shift_dimensions": p6_shift_dimensions,
 }

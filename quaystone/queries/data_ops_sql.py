@@ -85,6 +85,7 @@ _DELIVERY = "lpad(CAST(snapshot_no AS VARCHAR), 8, '0')"
 SQL = {
     "p6_profile": " UNION ALL ".join(_profile(t) for t in ("fact_stop_event", "dim_station", "dim_relation", "dim_date")),
     "p6_shift": _shift("fact_stop_event", _columns("fact_stop_event"), _WEEK) + " UNION ALL " + _shift("dim_station_snapshot", {c: k for c, k in _columns("dim_station_snapshot").items() if c != "loaded_at"}, _DELIVERY),
+    "p6_shift_dimensions": " UNION ALL ".join(_shift(t, _columns(t), "CAST(CAST(loaded_at AS DATE) AS VARCHAR)") for t in ("dim_relation", "dim_date")),
     "p1_found": _P1 + "SELECT * FROM found WHERE change_kind IS NOT NULL",
     "p1_counts": _P1 + "SELECT snapshot_no, change_kind, count(*) AS stations FROM found WHERE change_kind IS NOT NULL GROUP BY 1, 2",
     "p3_found": _P3 + "SELECT stg_id, ref_column, ref_status FROM found",

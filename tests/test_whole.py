@@ -75,3 +75,11 @@ def test_profile_counts_rows_without_a_day(spark, sf, tmp_path):
     fact.unionByName(undated).write.parquet(str(tmp_path / "fact_stop_event.parquet"))
     got = [r for r in data_ops.p6_profile(spark, str(tmp_path)).collect() if r.table_name == "fact_stop_event"]
     assert {r.rows for r in got} == {fact.count() + 5} and {r.nulls for r in got if r.column_name == "date_key"} == {5}
+
+
+def test_shift_of_every_dimension(spark, sf):
+    got = {(r.table_name, r.column_name, r.load) for r in data_ops.p6_shift_dimensions(spark, sf).collect()}
+    for t in ("dim_relation", "dim_date"):
+        df = table(spark, sf, t)
+        days = {str(r[0]) for r in df.select(F.to_date("loaded_at")).collect()}
+        assert {x for x in got if x[0] == t} == {(t, c, day) for c in df.columns for day in days} and len(days) > 1
