@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import small_batches, spread
-from quaystone.session import cut
+from quaystone.llm.common import spread
+from quaystone.session import cut, ship_package
 
 #: The public byte-level vocabulary; the path is a parameter everywhere.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -186,7 +186,7 @@ def _pack_once(items: DataFrame, capacity: int, shard_items: int, islands: int,
 
 def token_sizes(df: DataFrame, row_key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """row_key, n_tokens: whole texts, counted in Arrow batches."""
-    small_batches(df.sparkSession)
+    ship_package(df.sparkSession)
     kind = df.schema[row_key].dataType.simpleString()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,7 +208,7 @@ def pack(sizes: DataFrame, capacity: int, shard_items: int = 500, islands: int =
     rows of 0 tokens (empty or null texts) are placed like others; repeated rows are packed as often as they occur; an empty table
     gives no rows; null keys are kept.
     """
-    small_batches(sizes.sparkSession)
+    ship_package(sizes.sparkSession)
     whole = F.ceil(F.greatest(F.col("n_tokens"), F.lit(1)) / capacity).cast("int")
     pieces = sizes.select("row_key", "n_tokens", F.explode(F.sequence(F.lit(0), whole - 1)).alias("piece_no"))
     pieces = cut(pieces.select("row_key", "piece_no", F.least(F.col("n_tokens") - F.col("piece_no") * capacity, F.lit(capacity)).cast("int").alias("size")))

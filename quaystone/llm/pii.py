@@ -11,7 +11,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import small_batches, spread
+from quaystone.llm.common import spread
+from quaystone.session import ship_package
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 
@@ -386,7 +387,7 @@ def pii_stretches(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     the final removal of repeats. Defined cases: null and empty texts hold nothing; repeated documents count once per id; a null id
     stays null; whole texts are read, however long.
     """
-    small_batches(df.sparkSession, 500)
+    ship_package(df.sparkSession)
     kind = df.schema[doc_id].dataType.simpleString()
 
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -400,7 +401,7 @@ def pii_stretches(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def masked_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text with placeholders; null texts stay null. One row per input row, no shuffle of the result."""
-    small_batches(df.sparkSession, 500)
+    ship_package(df.sparkSession)
     kind = df.schema[doc_id].dataType.simpleString()
 
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import small_batches
+from quaystone.session import ship_package
 
 #: Characters under the rolling hash.
 WINDOW = 32
@@ -110,7 +110,7 @@ def split_oversized(df: DataFrame, config: DataFrame, row_id: Sequence[str], con
     empty content is one empty piece; a row whose profile is null or not configured stays whole; a profile configured twice counts
     with its smallest limit; headings are kept on every piece as they are.
     """
-    small_batches(df.sparkSession, 200)
+    ship_package(df.sparkSession)
     limits = config.groupBy(F.col(profile).alias("__qs_profile")).agg(F.min("max_chars").alias("__qs_max"), F.min("min_chars").alias("__qs_min"), F.min("overlap_chars").alias("__qs_over"))
     ids = [F.col(f"`{c}`").alias(c) for c in row_id]
     head = [F.col(f"`{heading}`").alias("heading")] if heading else []

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from quaystone.llm.contamination import ItemIndex, has_stretch, leaked_items, normal_words
+from quaystone.llm.contamination import ItemIndex, has_stretch, item_indexes, leaked_items, least_kept, normal_words
 
 
 def _brute(item, doc):
@@ -47,7 +47,7 @@ def test_index_finds_what_brute_force_finds():
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(400)]
     items = [(k, " ".join(rng.choice(vocabulary) for _ in range(60))) for k in range(6)]
-    index = ItemIndex(items)
+    index = ItemIndex.of_texts(items)
     for _ in range(150):
         k = rng.randrange(6)
         words = items[k][1].split()
@@ -68,13 +68,50 @@ def test_normalisation():
     assert normal_words(None) == [] and normal_words("") == []
 
 
+def test_least_kept_against_brute_force():
+    import itertools
+
+    for run in (4, 6):
+        for words in (20, 21, 23):
+            # Every place of the two edits in a stretch of 20 words: unbroken runs that stay.
+            fewest = min(sum(all(k not in (a, b) for k in range(at, at + run)) for at in range(20 - run + 1)) for a, b in itertools.combinations(range(1, 19), 2))
+            assert 1 <= least_kept(words, run) <= fewest
+    assert least_kept(19, 4) == 0 and least_kept(20, 6) == 3 and least_kept(24, 6) == 1
+
+
+def test_a_long_tag_is_no_difference():
+    words = [f"word{i}" for i in range(24)]
+    index = ItemIndex.of_texts([(1, " ".join(words))])
+    for size in (10, 500, 5000):
+        tag = f'<span data-note="{"q" * size}">'
+        assert index.leaks(" ".join(words[:12]) + " " + tag + " ".join(words[12:])) == [1]
+    assert normal_words("a < b and c > d") == ["a", "b", "and", "c", "d"]
+
+
+def test_texts_of_a_batch_stay_apart():
+    words = [f"w{i}" for i in range(30)]
+    index = ItemIndex.of_texts([(7, " ".join(words))])
+    assert index.search([words[:15], words[15:], words, [], words[3:24]]) == [(2, 7), (4, 7)]
+    # A template shared by many items, sizes in different partitions.
+    many = ItemIndex.of_texts([(k, " ".join(words[:20] + [f"own{k}_{j}" for j in range(k)])) for k in range(0, 200, 10)])
+    assert len(many.partitions) > 2 and len(many.leaks(" ".join(words[:20]))) == 20
+    assert len(many.leaks(" ".join(words[1:20]))) == 0
+
+
+def test_index_size_is_bounded():
+    items = [(k, " ".join(f"v{k}x{j}" for j in range(50))) for k in range(40)]
+    one, parts = item_indexes(items), item_indexes(items, 50_000)
+    assert len(one) == 1 and len(parts) > 3 and all(p.nbytes <= 50_000 for p in parts)
+    assert sorted(i for p in parts for i in p.ids) == list(range(40))
+
+
 def test_operator_cases(spark):
     item = " ".join(f"word{i}" for i in range(40))
     items = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "too short", "x"), (1, item, "x")], "item_id long, item_text string, text string")
     docs = [(10, f"before {item} after", 0), (10, f"before {item} after", 0), (11, " ".join(item.split()[:18]), 0), (12, None, 0), (13, "", 0), (14, "filler " * 40000 + " ".join(item.split()[5:27]), 0), (None, item, 0)]
     got = leaked_items(spark.createDataFrame(docs, "doc_id long, text string, item_id int"), items).collect()
     assert sorted((str(r.doc_id), r.item_id) for r in got) == [("10", 1), ("14", 1), ("None", 1)]
-    in_blocks = leaked_items(spark.createDataFrame(docs, "doc_id long, text string, item_id int"), items, block_words=10).collect()
+    in_blocks = leaked_items(spark.createDataFrame(docs, "doc_id long, text string, item_id int"), items, index_bytes=1, blocks_a_pass=1).collect()
     assert sorted(map(str, in_blocks)) == sorted(map(str, got))
     assert leaked_items(spark.createDataFrame([], "doc_id long, text string"), items).count() == 0
     assert leaked_items(spark.createDataFrame(docs, "doc_id long, text string, item_id int"), items.limit(0)).count() == 0
