@@ -9,12 +9,10 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import spread
-from quaystone.session import ship_package
+from quaystone.llm.common import map_texts
 
 #: A case runs along so many words of a test item, with at most one edit in so many.
 STRETCH, PER_EDIT = 20, 8
@@ -340,30 +338,27 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     one row per pair of ids; null ids are kept as null; whole texts are read.
     """
     spark = documents.sparkSession
-    doc_kind, item_kind = documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    rows = spread(documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
+    item_kind = {"bigint": "long"}.get(kind := items.schema[item_id].dataType.simpleString(), kind)
     indexes = item_indexes(map(tuple, items.select(F.col(f"`{item_id}`"), F.col(f"`{item_text}`")).toLocalIterator()), index_bytes)
 
     def search(part: list[ItemIndex]):
         sent = [spark.sparkContext.broadcast(index) for index in part]
 
-        def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def over(keys: list, texts: list) -> Iterator[dict[str, list]]:
             found = [one.value for one in sent]
-            for batch in batches:
-                for ids, words in _in_chunks(batch):
-                    out = [(ids[k], i) for index in found for k, i in index.search(words)]
-                    yield pd.DataFrame(out, columns=["doc_id", "item_id"])
+            for ids, words in _in_chunks(keys, texts):
+                out = [(ids[k], i) for index in found for k, i in index.search(words)]
+                yield {"doc_id": [d for d, _ in out], "item_id": [i for _, i in out]}
 
-        return rows.mapInPandas(over, f"doc_id {doc_kind}, item_id {item_kind}")
+        return map_texts(documents, doc_id, text, "doc_id", over, {"item_id": item_kind})
 
-    ship_package(spark)
     passes = [search(indexes[k : k + blocks_a_pass]) for k in range(0, max(1, len(indexes)), blocks_a_pass)]
     return reduce(DataFrame.unionByName, passes).distinct()
 
 
-def _in_chunks(batch: pd.DataFrame) -> Iterator[tuple[list, list[list[str]]]]:
+def _in_chunks(keys: list, texts: list) -> Iterator[tuple[list, list[list[str]]]]:
     ids, words, size = [], [], 0
-    for d, t in zip(batch["doc_id"], batch["text"]):
+    for d, t in zip(keys, texts):
         one = normal_words(t)
         if len(one) < STRETCH:
             continue

@@ -8,13 +8,10 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quaystone.llm.common import spread
-from quaystone.session import ship_package
+from quaystone.llm.common import map_texts
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 
@@ -629,26 +626,18 @@ def pii_stretches(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     the final removal of repeats. Defined cases: null and empty texts hold nothing; repeated documents count once per id; a null id
     stays null; whole texts are read, however long.
     """
-    ship_package(df.sparkSession)
-    kind = df.schema[doc_id].dataType.simpleString()
 
-    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [(d, k, t[a:b]) for d, t in zip(batch["doc_id"], batch["text"]) for a, b, k in find_pii(t) if k in KINDS]
-            yield pd.DataFrame(out, columns=["doc_id", "pii_kind", "pii_text"])
+    def over(keys: list, texts: list) -> Iterator[dict[str, list]]:
+        out = [(d, k, t[a:b]) for d, t in zip(keys, texts) for a, b, k in find_pii(t) if k in KINDS]
+        yield {c: [row[i] for row in out] for i, c in enumerate(("doc_id", "pii_kind", "pii_text"))}
 
-    rows = spread(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
-    return rows.mapInPandas(over, f"doc_id {kind}, pii_kind string, pii_text string").distinct()
+    return map_texts(df, doc_id, text, "doc_id", over, {"pii_kind": "string", "pii_text": "string"}).distinct()
 
 
 def masked_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text with placeholders; null texts stay null. One row per input row, no shuffle of the result."""
-    ship_package(df.sparkSession)
-    kind = df.schema[doc_id].dataType.simpleString()
 
-    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [mask(t) for t in batch["text"]]})
+    def over(keys: list, texts: list) -> Iterator[dict[str, list]]:
+        yield {"doc_id": keys, "text": [mask(t) for t in texts]}
 
-    rows = spread(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
-    return rows.mapInPandas(over, f"doc_id {kind}, text string")
+    return map_texts(df, doc_id, text, "doc_id", over, {"text": "string"})
