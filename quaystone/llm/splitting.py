@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from quaystone.session import ship_package
 
 #: Characters under the rolling hash.
 WINDOW = 32
+_FACTOR = np.uint64(0x100000001B3)
+_INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _PARAGRAPH = re.compile(r"(?:\r\n|\n|\r)[ \t ]*(?:\r\n|\n|\r)\s*")
 _LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
@@ -27,25 +30,35 @@ def rolling_hashes(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     mixed = (codes + np.uint64(1)) * _MULTIPLIER
     mixed ^= mixed >> np.uint64(29)
-    out, power = mixed.copy(), np.uint64(1)
-    for back in range(1, min(WINDOW, len(codes))):
-        power = np.uint64((int(power) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF)
-        out[back:] += mixed[:-back] * power
+    # The sum of mixed[i - back] * FACTOR^back over the window is a difference of prefix sums, for the factor has an inverse modulo 2^64.
+    prefix = np.cumsum(mixed * np.cumprod(np.full(len(codes), _INVERSE)))
+    prefix[WINDOW:] -= prefix[:-WINDOW].copy()
+    out = prefix * np.cumprod(np.full(len(codes), _FACTOR))
     out ^= out >> np.uint64(31)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     return out ^ (out >> np.uint64(27))
 
 
-def _ends(pattern: re.Pattern, text: str) -> np.ndarray:
-    return np.array([m.end() for m in pattern.finditer(text)], dtype=np.int64)
+#: What may stand at the end of a paragraph, line or sentence before its last blank.
+_AT_END = set(".!?…。！？\"'»“”’)]")
 
 
-def _nearest(where: np.ndarray, low: int, high: int, target: int) -> int | None:
-    a, b = np.searchsorted(where, low), np.searchsorted(where, high, side="right")
-    if a == b:
-        return None
-    some = where[a:b]
-    return int(some[np.argmin(np.abs(some - target))])
+def _nearest(text: str, last: int, low: int, high: int, target: int) -> int | None:
+    """The end of a paragraph, else line, else sentence, else word within [low, high] that is nearest to ``target``.
+
+    Only the reach is searched: a match that ends there begins after the last cut, behind no more than blanks and closing signs.
+    """
+    first = low
+    while first > last and (text[first - 1].isspace() or text[first - 1] in _AT_END):
+        first -= 1
+    runs_on = high < len(text) and text[high].isspace()
+    inside = text[high - 1 : high + 1] == "\r\n"
+    for pattern in (_PARAGRAPH, _LINE, _SENTENCE, _BLANK):
+        ends = [m.end() for m in pattern.finditer(text, first, high)]
+        ends = [e for e in ends if e >= low and not (e == high and (inside if pattern is _LINE else runs_on))]
+        if ends:
+            return min(ends, key=lambda e: (abs(e - target), e))
+    return None
 
 
 def _joined(text: str, at: int) -> bool:
@@ -64,7 +77,6 @@ def cut_points(text: str, core: int, least: int) -> list[int]:
     n, least = len(text), max(1, min(least, core))
     if n <= core:
         return [n]
-    levels = [_ends(p, text) for p in (_PARAGRAPH, _LINE, _SENTENCE, _BLANK)]
     cuts, at = [], 0
     while n - at > core:
         low, high = at + least, at + core
@@ -73,7 +85,7 @@ def cut_points(text: str, core: int, least: int) -> list[int]:
         # Only the reach of this cut is hashed: memory does not follow the length of the text.
         first = max(0, low - WINDOW)
         landmark = low + int(np.argmin(rolling_hashes(text[first:high])[low - 1 - first :]))
-        cut = next((c for where in levels if (c := _nearest(where, low, high, landmark)) is not None), None)
+        cut = _nearest(text, at, low, high, landmark)
         if cut is None:
             cut = landmark
             while cut > low and _joined(text, cut):
@@ -86,54 +98,73 @@ def cut_points(text: str, core: int, least: int) -> list[int]:
 def split_text(text: str, max_chars: int, min_chars: int = 0, overlap_chars: int = 0) -> list[tuple[int, int, int]]:
     """Pieces as (start, end, overlap): the piece is text[start:end], its first ``overlap`` characters repeat the piece before.
 
-    No piece has more than ``max_chars`` characters; an overlap beyond half of that is reduced to half. Without the overlaps the
-    pieces are the text again.
+    No piece has more than ``max_chars`` characters. An overlap has ``overlap_chars`` characters, or the fewer that let it begin
+    with a whole word if one begins in its first half, and else with a whole character. It may reach over more than one piece, but
+    an overlap that leaves no room for anything new is an error. Without the overlaps the pieces are the text again.
     """
-    max_chars = max(1, max_chars)
+    max_chars, overlap = max(1, max_chars), max(0, overlap_chars)
+    if overlap >= max_chars:
+        raise ValueError(f"an overlap of {overlap} characters leaves no room in pieces of {max_chars}")
     if len(text) <= max_chars:
         return [(0, len(text), 0)]
-    overlap = max(0, min(overlap_chars, max_chars // 2))
     pieces, start = [], 0
     for end in cut_points(text, max_chars - overlap, min_chars):
-        lead = min(overlap, start)
-        pieces.append((start - lead, end, lead))
+        first = _overlap_start(text, max(0, start - overlap), start) if start else 0
+        pieces.append((first, end, start - first))
         start = end
     return pieces
 
 
+def _overlap_start(text: str, low: int, cut: int) -> int:
+    """Where an overlap that may begin at ``low`` begins."""
+    if low == 0 or low == cut:
+        return low
+    if not text[low - 1].isspace() or _joined(text, low):
+        for m in _BLANK.finditer(text, low, (low + cut + 1) // 2):
+            if m.end() < cut and not _joined(text, m.end()):
+                return m.end()
+    while low < cut and _joined(text, low):
+        low += 1
+    return low
+
+
+PIECES = "array<struct<piece_no:int,start_char:int,overlap:int,content:string>>"
+
+
 def split_oversized(df: DataFrame, config: DataFrame, row_id: Sequence[str], content: str = "content", heading: str | None = "heading", profile: str = "profile") -> DataFrame:
     """Every row as pieces within the limits of its profile: ids, heading, ``piece_no``, ``start_char``, ``overlap``, ``content``, ``was_split``.
 
-    Rows within their limit pass as one piece inside the JVM; only oversized texts go through Arrow to Python, each text on its own,
-    without a shuffle. ``config`` (profile, max_chars, min_chars, overlap_chars) is one row per profile; it joins by Spark's own
-    choice of strategy, by size. Defined cases: lengths are Unicode code points; null content is one piece with null content;
-    empty content is one empty piece; a row whose profile is null or not configured stays whole; a profile configured twice counts
-    with its smallest limit; headings are kept on every piece as they are.
+    One scan, no shuffle: only oversized texts go through Arrow to Python, each text on its own; rows within their limit pass inside
+    the JVM as one piece, and no other column leaves it. ``config`` (profile, max_chars, min_chars, overlap_chars) is one row per
+    profile; it joins by Spark's own choice of strategy, by size. Defined cases: lengths are Unicode code points; null content is one
+    piece with null content; empty content is one empty piece; a row whose profile is null or not configured stays whole; a profile
+    configured twice counts with its smallest limits; headings are kept on every piece as they are; a profile whose overlap is not
+    below its limit is an error before anything is read.
     """
     ship_package(df.sparkSession)
     limits = config.groupBy(F.col(profile).alias("__qs_profile")).agg(F.min("max_chars").alias("__qs_max"), F.min("min_chars").alias("__qs_min"), F.min("overlap_chars").alias("__qs_over"))
-    ids = [F.col(f"`{c}`").alias(c) for c in row_id]
-    head = [F.col(f"`{heading}`").alias("heading")] if heading else []
-    rows = df.select(*ids, *head, F.col(f"`{content}`").alias("__qs_text"), F.col(f"`{profile}`").alias("__qs_p")).join(limits, F.col("__qs_p") == F.col("__qs_profile"), "left")
+    if wrong := limits.where("__qs_max IS NOT NULL AND __qs_over >= greatest(__qs_max, 1)").select("__qs_profile").first():
+        raise ValueError(f"profile {wrong[0]}: the overlap leaves no room for anything new")
     names = [*row_id, *(["heading"] if heading else [])]
-    large = F.coalesce(F.length("__qs_text") > F.col("__qs_max"), F.lit(False))
-    whole = rows.where(~large).select(*names, F.lit(0).alias("piece_no"), F.lit(0).alias("start_char"), F.lit(0).alias("overlap"), F.col("__qs_text").alias("content"), F.lit(False).alias("was_split"))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = {n: [] for n in [*names, "piece_no", "start_char", "overlap", "content", "was_split"]}
-            for row in batch.itertuples(index=False):
-                values = dict(zip(batch.columns, row))
-                text = values["__qs_text"]
-                for i, (a, b, lead) in enumerate(split_text(text, int(values["__qs_max"]), int(values["__qs_min"] or 0), int(values["__qs_over"] or 0))):
-                    for n in names:
-                        out[n].append(values[n])
-                    out["piece_no"].append(i)
-                    out["start_char"].append(a)
-                    out["overlap"].append(lead)
-                    out["content"].append(text[a:b])
-                    out["was_split"].append(True)
-            yield pd.DataFrame(out)
-
-    fill = rows.where(large).select(*names, "__qs_text", "__qs_max", F.coalesce("__qs_min", F.lit(0)).alias("__qs_min"), F.coalesce("__qs_over", F.lit(0)).alias("__qs_over"))
-    return whole.unionByName(fill.mapInPandas(cut, whole.schema))
+    kept = [F.col(f"`{c}`").alias(c) for c in row_id] + ([F.col(f"`{heading}`").alias("heading")] if heading else [])
+    rows = df.select(*kept, F.col(f"`{content}`").alias("__qs_text"), F.col(f"`{profile}`").alias("__qs_p")).join(limits, F.col("__qs_p") == F.col("__qs_profile"), "left")
+
+    @F.arrow_udf(PIECES)
+    def cut(texts: pa.Array, most: pa.Array, least: pa.Array, over: pa.Array) -> pa.Array:
+        ends, number, start, lead, content = [0], [], [], [], []
+        for t, a, b, c in zip(texts.to_pylist(), most.to_pylist(), least.to_pylist(), over.to_pylist()):
+            for i, (x, y, shared) in enumerate(split_text(t, a, b, c)) if t is not None else ():
+                number.append(i)
+                start.append(x)
+                lead.append(shared)
+                content.append(t[x:y])
+            ends.append(len(number))
+        flat = pa.StructArray.from_arrays([pa.array(number, pa.int32()), pa.array(start, pa.int32()), pa.array(lead, pa.int32()), pa.array(content, pa.string())], ["piece_no", "start_char", "overlap", "content"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pyarrow.compute.is_null(texts))
+
+    large = F.coalesce(F.length("__qs_text") > F.when(F.col("__qs_max") < 1, 1).otherwise(F.col("__qs_max")), F.lit(False))
+    number = lambda c: F.coalesce(F.when(large, F.col(c)), F.lit(0))
+    found = rows.withColumn("__qs_pieces", cut(F.when(large, F.col("__qs_text")), number("__qs_max"), number("__qs_min"), number("__qs_over")))
+    whole = F.array(F.struct(F.lit(0).alias("piece_no"), F.lit(0).alias("start_char"), F.lit(0).alias("overlap"), F.col("__qs_text").alias("content")))
+    out = found.select(*[F.col(f"`{n}`") for n in names], F.explode(F.coalesce("__qs_pieces", whole.cast(PIECES))).alias("__qs_piece"), large.alias("was_split"))
+    return out.select(*[F.col(f"`{n}`") for n in names], *[F.col(f"__qs_piece.{c}").alias(c) for c in ("piece_no", "start_char", "overlap", "content")], "was_split")

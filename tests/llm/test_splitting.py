@@ -1,4 +1,7 @@
 import random
+import unicodedata
+
+import pytest
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,11 +16,17 @@ def _rebuilt(text, pieces):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab. \n\r!é☃😀́", max_size=400), st.integers(1, 60), st.integers(0, 30), st.integers(0, 40))
 def test_round_trip_limits_and_overlap(text, most, least, overlap):
+    if overlap >= most:
+        with pytest.raises(ValueError):
+            split_text(text, most, least, overlap)
+        return
     pieces = split_text(text, most, least, overlap)
     assert _rebuilt(text, pieces) == text
     assert all(b - a <= most for a, b, _ in pieces)
     for (_, before, _), (a, _, lead) in zip(pieces, pieces[1:]):
-        assert a + lead == before and lead == min(overlap, most // 2, before)
+        assert a + lead == before and lead <= min(overlap, before)
+        # Shorter only to begin with a whole word or a whole character.
+        assert lead == min(overlap, before) or lead == 0 or text[a - 1].isspace() or text[a - 1 : a + 1] != "\r\n"
 
 
 def _prose(n, seed):
@@ -46,6 +55,23 @@ def test_cuts_stand_at_natural_ends():
     assert all(sentences[:c].endswith(". ") for c in cut_points(sentences, 700, 120)[:-1])
 
 
+def test_overlap_begins_with_a_whole_character_and_word():
+    marked = "e\u0301" * 3000
+    pieces = split_text(marked, 200, 20, 51)
+    assert len(pieces) > 30 and not any(unicodedata.combining(marked[a]) for a, _, _ in pieces)
+    lines = "word word word\r\n" * 500
+    pieces = split_text(lines, 200, 20, 50)
+    assert all(lines[a - 1 : a + 1] != "\r\n" and (a == 0 or lines[a - 1].isspace()) for a, _, _ in pieces)
+    assert all(25 <= lead <= 50 for _, _, lead in pieces[1:])
+
+
+def test_an_overlap_over_half_is_honoured():
+    text = "x" * 1000
+    pieces = split_text(text, 100, 10, 80)
+    assert all(lead == min(80, a + lead) for a, _, lead in pieces) and all(b - a <= 100 for a, b, _ in pieces)
+    assert _rebuilt(text, pieces) == text
+
+
 def test_edit_alters_only_neighbours():
     text = _prose(400, 2)
     at = len(text) // 2
