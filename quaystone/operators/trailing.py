@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def trailing_totals(df: DataFrame, entity: str, day: str, measures: Sequence[str], windows: Sequence[int] = (7, 30)) -> DataFrame:
     """For every entity and calendar day of the table's span: trailing totals and averages per day, by block decomposition.
 
-    Rows are summed by (entity, day) together with one zero row per entity and day, which fills the calendar without a join. The
+    Rows are summed by (entity, day); after the shuffle by entity, one zero row per day fills the calendar without a join. The
     days are cut into blocks as long as the window. A prefix sum runs from the block's start, a suffix sum to its end; the window
     that ends on a day is the prefix there plus the suffix, ``w - 1`` days earlier, of the block before. Nothing is subtracted, so
     sums of floating point numbers stay exact to rounding. All windows share one partitioning by entity, whose groups are bounded
@@ -28,12 +28,15 @@ def trailing_totals(df: DataFrame, entity: str, day: str, measures: Sequence[str
     first, last = rows.agg(F.min("__qs_d"), F.max("__qs_d")).first()
     if first is None:
         first = last = date(1970, 1, 1)
-    zeros = [F.lit(0).cast(rows.schema[f"__qs_m{i}"].dataType).alias(f"__qs_m{i}") for i in range(len(measures))]
-    calendar = rows.select("__qs_e").distinct().select("__qs_e", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("__qs_d"), *zeros, F.lit(0).alias("__qs_n"))
     sums = [F.coalesce(F.sum(f"__qs_m{i}"), F.lit(0)).alias(f"__qs_m{i}") for i in range(len(measures))]
-    dense = rows.withColumn("__qs_n", F.lit(1)).unionByName(calendar).groupBy("__qs_e", "__qs_d").agg(*sums, F.max("__qs_n").alias("__qs_n"))
-    at = F.datediff("__qs_d", F.lit(first))
-    out = dense.repartition("__qs_e").withColumn("__qs_at", at)
+    daily = rows.groupBy("__qs_e", "__qs_d").agg(*sums)
+    # One array per entity, no longer than the span, is filled up to the calendar after the shuffle by entity; the steps below keep to it.
+    names = ["__qs_d", *[f"__qs_m{i}" for i in range(len(measures))], "__qs_n"]
+    found = F.collect_list(F.struct(*names[:-1], F.lit(1).alias("__qs_n")))
+    zeros = F.transform(F.sequence(F.lit(first), F.lit(last)), lambda x: F.struct(x.alias("__qs_d"), *[F.lit(0).cast(daily.schema[n].dataType).alias(n) for n in names[1:-1]], F.lit(0).alias("__qs_n")))
+    filled = daily.repartition("__qs_e").groupBy("__qs_e").agg(found.alias("__qs_found")).select("__qs_e", F.explode(F.concat("__qs_found", zeros)).alias("__qs_x")).select("__qs_e", "__qs_x.*")
+    dense = filled.groupBy("__qs_e", "__qs_d").agg(*[F.sum(n).alias(n) for n in names[1:-1]], F.max("__qs_n").alias("__qs_n"))
+    out = dense.withColumn("__qs_at", F.datediff("__qs_d", F.lit(first)))
     by_entity = Window.partitionBy("__qs_e").orderBy("__qs_at")
     columns = [F.col("__qs_e").alias(entity), F.col("__qs_d").alias(day), (F.col("__qs_n") > 0).alias("has_row")]
     for w in windows:
