@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
@@ -36,12 +37,19 @@ def bloom_bits(items: int, fpp: float) -> int:
     return int(min(MAX_BLOOM_BITS, max(64, math.ceil(-max(1, items) * math.log(fpp) / math.log(2) ** 2))))
 
 
+def build_blooms(keyed: Sequence[tuple[DataFrame, Column, int]], fpp: float = 0.01) -> list[bytes | None]:
+    """Bloom filters of at most 8 MB each over (frame, key, number of keys), in one job; None over no rows."""
+    parts = []
+    for i, (df, key, items) in enumerate(keyed):
+        agg = InternalFunction._invoke_internal_function_over_columns("bloom_filter_agg", F.xxhash64(key), F.lit(max(1, items)).cast("bigint"), F.lit(bloom_bits(items, fpp)).cast("bigint"))
+        parts.append(df.agg(agg.alias("bloom")).select(F.lit(i).alias("i"), "bloom"))
+    rows = {r.i: r.bloom for r in reduce(DataFrame.unionByName, parts).collect()}
+    return [None if rows.get(i) is None else bytes(rows[i]) for i in range(len(keyed))]
+
+
 def build_bloom(df: DataFrame, key: Column, items: int, fpp: float = 0.01) -> bytes | None:
     """One distributed aggregation to a Bloom filter of at most 8 MB; None over no rows."""
-    bits = bloom_bits(items, fpp)
-    agg = InternalFunction._invoke_internal_function_over_columns("bloom_filter_agg", F.xxhash64(key), F.lit(max(1, items)).cast("bigint"), F.lit(bits).cast("bigint"))
-    row = df.agg(agg.alias("bloom")).first()
-    return None if row is None or row["bloom"] is None else bytes(row["bloom"])
+    return build_blooms([(df, key, items)], fpp)[0]
 
 
 def might_contain(bloom: bytes | None, key: Column) -> Column:

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaystone.session import cut
+from quaystone.session import cut, read_text, write_text
 
 STATE = "table_name string, column_name string, value string, value_num double, n long"
 KEYS = ["table_name", "column_name", "value", "value_num"]
 
 
-def _as_value(df: DataFrame, name: str) -> tuple[Column, Column]:
+def as_value(df: DataFrame, name: str) -> tuple[Column, Column]:
+    """A column as text, which is what is counted, and as number if it is one."""
     kind, col = df.schema[name].dataType, F.col(f"`{name}`")
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
         return F.when(col.isNotNull(), F.to_json(F.struct(col.alias("v")))), F.lit(None).cast("double")
@@ -32,12 +36,12 @@ def value_counts(df: DataFrame, table: str, columns: Sequence[str] | None = None
     """
     parts = []
     for c in df.columns if columns is None else columns:
-        text, number = _as_value(df, c)
+        text, number = as_value(df, c)
         kind = df.schema[c].dataType
         groupable = F.col(f"`{c}`") if isinstance(kind, T.AtomicType) and not isinstance(kind, T.VariantType) else text
         load = [] if by is None else [by.alias("load")]
         grouped = df.select(*load, groupable.alias("__qs_v")).groupBy(*(["load"] if load else []), "__qs_v").agg((F.count(F.lit(1)) * sign).alias("n"))
-        text, number = _as_value(grouped, "__qs_v")
+        text, number = as_value(grouped, "__qs_v")
         parts.append(grouped.select(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), *(["load"] if load else []), text.alias("value"), number.alias("value_num"), "n"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -48,17 +52,34 @@ def apply_delta(state: DataFrame, *deltas: DataFrame) -> DataFrame:
     return every.groupBy(*KEYS).agg(F.sum("n").alias("n")).where(F.col("n") != 0)
 
 
-def metrics(state: DataFrame) -> DataFrame:
-    """Per column: rows, nulls, null rate, distinct values, range, entropy in nats, the most frequent value.
+@dataclass(frozen=True)
+class Rule:
+    """``broken`` on the columns value, value_num and n says which values of a column break its form. A rule that needs other columns
+    of the row is stated on ``counted``, a struct of them that is counted beside the column."""
+
+    table: str
+    column: str
+    broken: Column
+    counted: str | None = None
+
+    def on_state(self) -> Column:
+        """Whether a row of the state is a value that breaks the rule."""
+        return (F.col("table_name") == self.table) & (F.col("column_name") == (self.counted or self.column)) & F.col("value").isNotNull() & F.coalesce(self.broken, F.lit(False))
+
+
+def metrics(state: DataFrame, rules: Sequence[Rule] = ()) -> DataFrame:
+    """Per column: rows, nulls, null rate, distinct values, range, entropy in nats, the most frequent value, violations.
 
     Entropy comes from the counts alone: ln N - sum(n ln n) / N over the values that are not null. Numbers are ranged as numbers,
-    everything else as text (dates in ISO form). A column of nulls has no range, 0 distinct values and null entropy.
+    everything else as text (dates in ISO form). A column of nulls has no range, 0 distinct values and null entropy. ``violations``
+    counts the rows whose value breaks the rule of its column; it is null where there is none. Counted structs have no row of their own.
     """
     v, n = F.col("value"), F.col("n")
     present = F.when(v.isNotNull(), n)
     numeric = F.max("value_num").isNotNull()
     total = F.sum(present)
-    return state.groupBy("table_name", "column_name").agg(
+    broken = F.coalesce(*[F.when(r.on_state(), n) for r in rules]) if rules else F.lit(None).cast("long")
+    out = state.groupBy("table_name", "column_name").agg(
         F.sum("n").alias("rows"),
         F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("nulls"),
         (F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)) / F.sum("n")).alias("null_rate"),
@@ -67,7 +88,17 @@ def metrics(state: DataFrame) -> DataFrame:
         F.when(numeric, F.max_by("value", "value_num")).otherwise(F.max("value")).alias("max_value"),
         (F.ln(total) - F.sum(present * F.ln(present)) / total).alias("entropy"),
         F.max(present).alias("top_count"),
+        F.coalesce(F.sum(broken), F.lit(0)).alias("__qs_broken"),
     )
+    own = F.coalesce(*[F.when((F.col("table_name") == r.table) & (F.col("column_name") == r.column), True) for r in rules], F.lit(False)) if rules else F.lit(False)
+    beside = [r for r in rules if r.counted]
+    if not beside:
+        return out.withColumn("violations", F.when(own, F.col("__qs_broken"))).drop("__qs_broken")
+    # One row per column of every table: the counts of a struct go to the column that its rule is about.
+    ruled = F.coalesce(*[F.when((F.col("table_name") == r.table) & (F.col("column_name") == r.counted), F.lit(r.column)) for r in beside])
+    moved = out.where(ruled.isNotNull()).select(F.col("table_name").alias("__qs_t"), ruled.alias("__qs_c"), F.col("__qs_broken").alias("__qs_moved"))
+    both = out.where(ruled.isNull()).join(moved, (F.col("table_name") == F.col("__qs_t")) & (F.col("column_name") == F.col("__qs_c")), "left")
+    return both.withColumn("violations", F.when(own, F.coalesce("__qs_moved", "__qs_broken"))).drop("__qs_broken", "__qs_t", "__qs_c", "__qs_moved")
 
 
 def load_shift(by_load: DataFrame) -> DataFrame:
@@ -94,38 +125,67 @@ def load_shift(by_load: DataFrame) -> DataFrame:
 
 
 class ValueCountStore:
-    """Value-count tables kept under a shared path, one immutable version per applied load.
+    """Value-count tables kept under a shared path, in parts by column and bucket of values; a load rewrites the parts that it touches.
 
-    A version is written whole and counts only once Spark has committed it (_SUCCESS), so a lost executor or driver leaves the last
-    version intact. A load that was applied before is not applied again.
+    A manifest of each version says which load it applied and in which folder each part stands. It is written under another name and
+    renamed, so a lost executor or driver leaves the last version intact. A load that was applied before is not applied again.
+    ``buckets`` is fixed when the store is made; it bounds what a change of one value rewrites.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 2):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _manifests(self) -> list[str]:
+        folder = self._path(f"{self.path}/manifest")
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(n for n in names if n.endswith(".json"))
+
+    def _manifest(self) -> dict:
+        names = self._manifests()
+        if not names:
+            return {"version": 0, "loads": [], "buckets": self.buckets, "parts": {}}
+        return json.loads(read_text(self.spark, f"{self.path}/manifest/{names[-1]}"))
+
     def versions(self) -> list[tuple[int, str]]:
-        """(number, load) of the committed versions, in order."""
-        if not self._fs.exists(self._path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        done = [n for n in names if n.startswith("v=") and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted((int(n[2:].split("-", 1)[0]), n[2:].split("-", 1)[1]) for n in done)
-
-    def state(self) -> DataFrame:
-        """The latest state; empty before the first load."""
-        seen = self.versions()
-        if not seen:
+        """(number, load) of the versions, in order."""
+        return [(i + 1, load) for i, load in enumerate(self._manifest()["loads"])]
+
+    @staticmethod
+    def _prefix(table: Column, column: Column) -> Column:
+        return F.left(F.md5(F.concat_ws("\0", table, column)), F.lit(16))
+
+    def state(self, columns: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+        """The latest state, of all columns or of some (table, column): only their parts are read. Empty before the first load."""
+        parts = self._manifest()["parts"]
+        if columns is not None:
+            wanted = {hashlib.md5(f"{t}\0{c}".encode()).hexdigest()[:16] for t, c in columns}
+            parts = {p: v for p, v in parts.items() if p.split("-")[0] in wanted}
+        return self._read(parts)
+
+    def _read(self, parts: dict[str, int]) -> DataFrame:
+        if not parts:
             return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(f"{self.path}/v={seen[-1][0]:08d}-{seen[-1][1]}")
+        return self.spark.read.schema(STATE).parquet(*[f"{self.path}/data/v={v:08d}/part={p}" for p, v in sorted(parts.items())])
 
     def apply(self, load: str, *deltas: DataFrame) -> DataFrame:
         """Apply a load's signed deltas once and return the new state."""
-        seen = self.versions()
-        if load in {name for _, name in seen}:
+        now = self._manifest()
+        if load in now["loads"]:
             return self.state()
-        at = seen[-1][0] + 1 if seen else 1
-        apply_delta(self.state(), *deltas).write.mode("overwrite").parquet(f"{self.path}/v={at:08d}-{load}")
+        at = now["version"] + 1
+        bucket = F.pmod(F.xxhash64(F.coalesce("value", F.lit(""))), F.lit(now["buckets"])).cast("string")
+        part = F.concat(self._prefix(F.col("table_name"), F.col("column_name")), F.lit("-"), bucket)
+        delta = cut(apply_delta(*deltas).withColumn("part", part))
+        # Parts are columns times buckets, whatever the number of values.
+        touched = {r.part for r in delta.select("part").distinct().collect()}
+        old = self._read({p: v for p, v in now["parts"].items() if p in touched})
+        merged = apply_delta(old, delta).withColumn("part", part)
+        folder = f"{self.path}/data/v={at:08d}"
+        merged.repartition("part").write.mode("overwrite").partitionBy("part").parquet(folder)
+        left = {s.getPath().getName()[5:] for s in self._fs.listStatus(self._path(folder)) if s.isDirectory()}
+        parts = {p: v for p, v in now["parts"].items() if p not in touched} | {p: at for p in left}
+        write_text(self.spark, f"{self.path}/manifest/{at:08d}.json", json.dumps({"version": at, "loads": [*now["loads"], load], "buckets": now["buckets"], "parts": parts}))
         return self.state()

@@ -8,12 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.operators.heavy import heavy_counts, heavy_hitters, per_key
+from quaystone.operators.heavy import heavy_counts, per_keys
 from quaystone.operators.orphans import Reference, orphan_counts, orphan_references
-from quaystone.operators.profile import ValueCountStore, load_shift, metrics, value_counts
+from quaystone.operators.profile import Rule, ValueCountStore, as_value, load_shift, metrics, value_counts
 from quaystone.operators.snapshots import snapshot_changes
 from quaystone.operators.trailing import trailing_totals
-from quaystone.session import cut, ensure_checkpoint_dir, measured_join, table
+from quaystone.session import cut, ensure_checkpoint_dir, measured_join, sizes_of, table
 
 FACT_SHARE = 0.04
 
@@ -51,12 +51,7 @@ def p4_trailing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    fact = table(spark, d, "fact_stop_event")
-    parts = []
-    for key in ("station_key", "relation_key"):
-        found = heavy_hitters(fact, key, FACT_SHARE)
-        parts.append(heavy_counts(fact, key, FACT_SHARE, found).select(F.lit(key).alias("key_column"), F.col(key).cast("string").alias("key_value")))
-    return reduce(DataFrame.unionByName, parts)
+    return heavy_counts(table(spark, d, "fact_stop_event"), ("station_key", "relation_key"), FACT_SHARE).select("key_column", "key_value")
 
 
 def p5_results(spark: SparkSession, d: str) -> DataFrame:
@@ -74,11 +69,7 @@ def p5_results(spark: SparkSession, d: str) -> DataFrame:
         "delay_max": F.max(late),
     }
     merges = {k: "sum" for k in partials} | {"delay_min": "min", "delay_max": "max"}
-    parts = []
-    for key in ("station_key", "relation_key"):
-        one = per_key(fact, key, partials, merges, FACT_SHARE)
-        parts.append(one.select(F.lit(key).alias("key_column"), F.col(key).cast("string").alias("key_value"), *partials))
-    both = reduce(DataFrame.unionByName, parts)
+    both = per_keys(fact, ("station_key", "relation_key"), partials, merges, FACT_SHARE).drop("is_heavy")
     return both.withColumn("delay_avg", F.col("delay_sum") / F.nullif("delays", F.lit(0))).withColumn("punctual_share", F.col("punctual").cast("double") / F.nullif("measured", F.lit(0)))
 
 
@@ -87,46 +78,81 @@ PLACE = r"[^\s>→](?:[^>→]*[^\s>→])?"
 DIRECTION = rf"(?U)\A{PLACE} -> {PLACE}\z"
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Rows whose value breaks the form of its column: rules run on the value-count tables, the offenders are joined back."""
-    fact = table(spark, d, "fact_stop_event").select("date_key", "stop_point_key", "train_no", "punctual_arrivals")
-    station = table(spark, d, "dim_station").select("station_key", "ptcar_no")
-    relation = table(spark, d, "dim_relation").select("relation_key", F.struct("relation", "relation_direction").alias("stated"))
-    parts = []
-    for name, df, column, bad, key in (
-        ("fact_stop_event", fact, "punctual_arrivals", ~F.col("value_num").isin(0.0, 1.0), F.concat_ws("|", F.col("date_key").cast("string"), "stop_point_key", F.col("train_no").cast("string"))),
-        ("dim_station", station, "ptcar_no", (F.col("value_num") < 1) | (F.col("value_num") > 9_999_999) | (F.col("n") >= 2), F.col("station_key").cast("string")),
-    ):
-        counts = value_counts(df, name, [column])
-        offenders = cut(counts.where(F.col("value").isNotNull() & bad).select(F.col("value").cast(df.schema[column].dataType).alias("__qs_bad")))
-        rows = measured_join(df, offenders, column, "__qs_bad", "inner", offenders.count(), key)
-        parts.append(rows.select(F.lit(name).alias("table_name"), F.lit(column).alias("column_name"), key.alias("row_key")))
-    # The rule of a direction needs the row's relation, so the counted value is the pair of both.
-    counts = relation.where(F.col("stated.relation_direction").isNotNull()).groupBy("stated").agg(F.count(F.lit(1)).alias("n"))
-    lead = F.concat(F.col("stated.relation"), F.lit(": "))
-    text = F.col("stated.relation_direction")
+PROFILED = ("fact_stop_event", "dim_station", "dim_relation", "dim_date")
+#: A direction can be judged beside its row's relation only, so the pair of both is counted too.
+PAIR = "relation_and_direction"
+
+
+def form_rules() -> list[Rule]:
+    """The forms that values must have; the rules run on the value counts."""
+    number, said = F.col("value_num"), F.from_json("value", "v struct<relation: string, relation_direction: string>")["v"]
+    lead, text = F.concat(said["relation"], F.lit(": ")), said["relation_direction"]
     right = text.startswith(lead) & F.substring(text, F.length(lead) + 1, F.length(text)).rlike(DIRECTION)
-    offenders = cut(counts.where(~F.coalesce(right, F.lit(False))).select(F.to_json("stated", {"ignoreNullFields": "false"}).alias("__qs_bad")))
-    pairs = relation.select("relation_key", F.to_json("stated", {"ignoreNullFields": "false"}).alias("__qs_pair"))
-    rows = measured_join(pairs, offenders, "__qs_pair", "__qs_bad", "inner", offenders.count(), F.col("relation_key"))
-    parts.append(rows.select(F.lit("dim_relation").alias("table_name"), F.lit("relation_direction").alias("column_name"), F.col("relation_key").alias("row_key")))
-    return reduce(DataFrame.unionByName, parts)
+    return [
+        Rule("fact_stop_event", "punctual_arrivals", ~number.isin(0.0, 1.0)),
+        Rule("dim_station", "ptcar_no", (number < 1) | (number > 9_999_999) | (F.col("n") >= 2)),
+        Rule("dim_relation", "relation_direction", text.isNotNull() & ~F.coalesce(right, F.lit(False)), PAIR),
+    ]
 
 
-PROFILED = ("fact_stop_event", "dim_station", "dim_relation", "dim_date")
+def _with_pair(relation: DataFrame) -> DataFrame:
+    return relation.withColumn(PAIR, F.struct("relation", "relation_direction"))
+
+
+def profile_store(spark: SparkSession, d: str, columns: dict[str, list[str]] | None = None, path: str | None = None) -> ValueCountStore:
+    """The store of a folder's tables with two loads applied: the dimensions with the fact's history, and the fact's last week.
+
+    ``columns`` by table, all of them if None. Under a ``path`` that holds a store already, loads applied before are not read again;
+    without one a new store is made in the shared folder. The counts of both loads come from one pass over each column.
+    """
+    if path is None:
+        ensure_checkpoint_dir(spark)
+        path = f"{spark.sparkContext.getCheckpointDir()}/value-counts-{uuid.uuid4()}"
+    store = ValueCountStore(spark, path)
+    if {"history", "last-week"} <= {load for _, load in store.versions()}:
+        return store
+    frames = {t: table(spark, d, t) for t in PROFILED}
+    frames["dim_relation"] = _with_pair(frames["dim_relation"])
+    fact = frames["fact_stop_event"]
+    last = fact.agg(F.date_trunc("week", F.max("date_key")).cast("date").alias("w")).first()["w"]
+    recent = F.coalesce(F.col("date_key") >= F.lit(last), F.lit(False))
+    pick = lambda t: None if columns is None else columns.get(t, [])
+    counted = cut(value_counts(fact, "fact_stop_event", pick("fact_stop_event"), by=F.when(recent, F.lit("last-week")).otherwise(F.lit("history"))))
+    of = lambda load: counted.where(F.col("load") == load).drop("load")
+    store.apply("history", of("history"), *[value_counts(frames[t], t, pick(t)) for t in PROFILED[1:] if pick(t) != []])
+    store.apply("last-week", of("last-week"))
+    return store
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose value breaks the form of its column: the offending values are taken from the maintained counts, their rows joined back."""
+    rules = form_rules()
+    store = profile_store(spark, d, {r.table: [r.counted or r.column] for r in rules})
+    state = store.state([(r.table, r.counted or r.column) for r in rules])
+    offenders = cut(state.where(reduce(lambda a, b: a | b, [r.on_state() for r in rules])).select("table_name", "value"))
+    keys = {
+        "fact_stop_event": F.concat_ws("|", F.col("date_key").cast("string"), "stop_point_key", F.col("train_no").cast("string")),
+        "dim_station": F.col("station_key").cast("string"),
+        "dim_relation": F.col("relation_key"),
+    }
+    mine = [offenders.where(F.col("table_name") == r.table).select(F.col("value").alias("__qs_bad")) for r in rules]
+    parts = []
+    for r, bad, size in zip(rules, mine, sizes_of(*mine)):
+        df = table(spark, d, r.table)
+        value, _ = as_value(_with_pair(df), r.counted) if r.counted else as_value(df, r.column)
+        if r.counted:
+            df = _with_pair(df)
+        else:
+            # Compared in the column's own type, which reaches the scan.
+            value, bad = F.col(r.column), bad.select(F.col("__qs_bad").cast(df.schema[r.column].dataType).alias("__qs_bad"))
+        rows = measured_join(df.select(value.alias("__qs_value"), keys[r.table].alias("row_key")), bad, "__qs_value", "__qs_bad", "inner", size, F.col("row_key"))
+        parts.append(rows.select(F.lit(r.table).alias("table_name"), F.lit(r.column).alias("column_name"), "row_key"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def p6_profile(spark: SparkSession, d: str) -> DataFrame:
     """Profile from maintained counts: the dimensions and the fact's history are one load, its last week is applied as a delta."""
-    fact = table(spark, d, "fact_stop_event")
-    last = fact.agg(F.date_trunc("week", F.max("date_key")).cast("date").alias("w")).first()["w"]
-    recent = F.col("date_key") >= F.lit(last)
-    history = ~recent | F.col("date_key").isNull()
-    ensure_checkpoint_dir(spark)
-    store = ValueCountStore(spark, f"{spark.sparkContext.getCheckpointDir()}/value-counts-{uuid.uuid4()}")
-    store.apply("history", value_counts(fact.where(history), "fact_stop_event"), *[value_counts(table(spark, d, t), t) for t in PROFILED[1:]])
-    state = store.apply("last-week", value_counts(fact.where(recent), "fact_stop_event"))
-    return metrics(state).withColumns({c: F.round(c, 6) for c in ("null_rate", "entropy")})
+    return metrics(profile_store(spark, d).state(), form_rules()).withColumns({c: F.round(c, 6) for c in ("null_rate", "entropy")})
 
 
 def p6_shift(spark: SparkSession, d: str) -> DataFrame:

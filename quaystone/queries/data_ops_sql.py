@@ -55,6 +55,14 @@ def _as_text(column, kind):
     return f"strftime({column} AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S')" if kind is schema.TIME else f"CAST({column} AS VARCHAR)"
 
 
+_DIRECTION = rf"""NOT coalesce(starts_with(relation_direction, relation || ': ') AND regexp_full_match(substring(relation_direction, length(relation) + 3), '{_PLACE} -> {_PLACE}'), false)"""
+_BROKEN = {
+    ("fact_stop_event", "punctual_arrivals"): "CAST(coalesce(sum(n) FILTER (WHERE punctual_arrivals NOT IN (0, 1)), 0) AS BIGINT)",
+    ("dim_station", "ptcar_no"): "CAST(coalesce(sum(n) FILTER (WHERE ptcar_no < 1 OR ptcar_no > 9999999 OR (ptcar_no IS NOT NULL AND n > 1)), 0) AS BIGINT)",
+    ("dim_relation", "relation_direction"): f"(SELECT count(*) FROM dim_relation WHERE relation_direction IS NOT NULL AND {_DIRECTION})",
+}
+
+
 def _profile(name):
     parts = []
     for c, kind in _columns(name).items():
@@ -62,7 +70,7 @@ def _profile(name):
         parts.append(
             f"""SELECT '{name}' AS table_name, '{c}' AS column_name, CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (WHERE v IS NULL), 0) AS BIGINT) AS nulls,
             round(coalesce(sum(n) FILTER (WHERE v IS NULL), 0)::DOUBLE / sum(n), 6) AS null_rate, count(v) AS distinct_values, {low} AS min_value, {high} AS max_value,
-            round(ln(sum(n) FILTER (WHERE v IS NOT NULL)) - sum(n * ln(n)) FILTER (WHERE v IS NOT NULL) / sum(n) FILTER (WHERE v IS NOT NULL), 6) AS entropy, max(n) FILTER (WHERE v IS NOT NULL) AS top_count
+            round(ln(sum(n) FILTER (WHERE v IS NOT NULL)) - sum(n * ln(n)) FILTER (WHERE v IS NOT NULL) / sum(n) FILTER (WHERE v IS NOT NULL), 6) AS entropy, max(n) FILTER (WHERE v IS NOT NULL) AS top_count, {_BROKEN.get((name, c), 'CAST(NULL AS BIGINT)')} AS violations
             FROM (SELECT {c}, {_as_text(c, kind)} AS v, count(*) AS n FROM {name} GROUP BY 1, 2)"""
         )
     return " UNION ALL ".join(parts)

@@ -6,13 +6,16 @@ import atexit
 import shutil
 import tempfile
 import zipfile
+from dataclasses import dataclass
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a measured side of a join is broadcast; about 64 MB of narrow rows.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a measured side of a join is broadcast.
+BROADCAST_BYTES = 64_000_000
 #: Copies of the small side in a salted join.
 SALTS = 16
 
@@ -32,6 +35,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="quaystone-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     sc.setCheckpointDir(shared)
 
 
@@ -57,25 +61,78 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes that a row takes in a broadcast relation, at least: 16 for the row, 8 a column, and the length of what is longer."""
+    long = [f for f in df.schema if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType))]
+    texts = [F.col(f"`{f.name}`") if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in long]
+    return reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(t), F.lit(0)) for t in texts], F.lit(16 + 8 * len(df.columns)))
+
+
+@dataclass(frozen=True)
+class Size:
+    """Rows and bytes, as measured."""
+
+    rows: int
+    bytes: int
+
+
+def sizes_of(*frames: DataFrame) -> list[Size]:
+    """The sizes of frames, measured in one job."""
+    parts = [df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes(df).cast("long")), F.lit(0)).alias("b")).select(F.lit(i).alias("i"), "n", "b") for i, df in enumerate(frames)]
+    return [Size(r.n, r.b) for r in sorted(reduce(DataFrame.unionByName, parts).collect())]
+
+
 def measured_join(
     left: DataFrame,
     right: DataFrame,
     left_key: str,
     right_key: str,
     how: str,
-    right_rows: int,
+    right_size: Size,
     spread: Column,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join on one key where ``right`` is unique by ``right_key`` and its row count ``right_rows`` was measured.
+    """Join on one key where ``right`` is unique by ``right_key`` and its size was measured.
 
-    Within ``broadcast_rows`` the right side is broadcast. Beyond, both sides are shuffled with a salt taken from ``spread``
+    Within ``broadcast_bytes`` the right side is broadcast. Beyond, both sides are shuffled with a salt taken from ``spread``
     (any well-spread expression of the left row), so that one hot key is dealt out to ``salts`` tasks.
     """
-    if right_rows <= broadcast_rows:
+    if right_size.bytes <= broadcast_bytes:
         return left.join(F.broadcast(right), F.col(left_key) == F.col(right_key), how)
     salted = left.withColumn("__qs_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = right.withColumn("__qs_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     on = (F.col(left_key) == F.col(right_key)) & (F.col("__qs_salt") == F.col("__qs_copy"))
     return salted.join(copies, on, how).drop("__qs_salt", "__qs_copy")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file from any file system that Spark reads; None if there is none."""
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, written beside its place and renamed, so that readers see the old text or the new one."""
+    fs, p = _hadoop(spark, path)
+    fresh = _hadoop(spark, path + ".new")[1]
+    stream = fs.create(fresh, True)
+    try:
+        stream.write(text.encode("utf-8"))
+    finally:
+        stream.close()
+    if fs.exists(p):
+        fs.delete(p, False)
+    if not fs.rename(fresh, p):
+        raise OSError(f"cannot write {path}")

@@ -7,12 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaystone.functions.hashing import bloom_bits, build_bloom, might_contain
-from quaystone.operators.heavy import heavy_counts, heavy_hitters, per_key, skew_join
+from quaystone.operators.heavy import heavy_counts, heavy_hitters, per_key, per_keys, skew_join
 from quaystone.operators.orphans import Reference, orphan_counts, orphan_references
-from quaystone.operators.profile import ValueCountStore, apply_delta, load_shift, metrics, value_counts
+from quaystone.operators.profile import Rule, ValueCountStore, apply_delta, load_shift, metrics, value_counts
 from quaystone.operators.snapshots import snapshot_changes
 from quaystone.operators.trailing import trailing_totals
-from quaystone.session import measured_join
+from quaystone.session import measured_join, read_text, sizes_of, write_text
 
 T0 = datetime(2026, 1, 1)
 
@@ -61,8 +61,8 @@ def test_snapshot_changes_against_brute_force(spark):
 # --- orphans ---
 
 
-@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
-def test_orphans(spark, broadcast_rows):
+@pytest.mark.parametrize("broadcast_bytes", [64_000_000, 0])
+def test_orphans(spark, broadcast_bytes):
     child = spark.createDataFrame(
         [(1, 10, "a", T0), (2, 11, "a", T0), (3, None, "zz", T0), (4, 12, None, T0), (4, 12, None, T0), (5, 12, "b", None), (6, 13, "a", T0)] + [(100 + i, 99, "a", T0) for i in range(50)],
         "id long, k int, r string, landed timestamp",
@@ -70,12 +70,12 @@ def test_orphans(spark, broadcast_rows):
     parent = spark.createDataFrame([(10, T0 - timedelta(1)), (12, T0 + timedelta(1)), (13, None), (13, T0 + timedelta(1)), (None, T0)], "k int, since timestamp")
     names = spark.createDataFrame([("a",), ("b",)], "r string")
     refs = [Reference("k", parent, "k", "since"), Reference("r", names, "r")]
-    got = sorted((r.id, r.ref_column, r.ref_value, r.ref_status) for r in orphan_references(child, ["id"], refs, "landed", broadcast_rows=broadcast_rows).collect())
+    got = sorted((r.id, r.ref_column, r.ref_value, r.ref_status) for r in orphan_references(child, ["id"], refs, "landed", broadcast_bytes=broadcast_bytes).collect())
     want = [(2, "k", "11", "missing"), (3, "r", "zz", "missing"), (4, "k", "12", "late"), (4, "k", "12", "late")] + [(100 + i, "k", "99", "missing") for i in range(50)]
     assert got == sorted(want)
-    empty = orphan_references(child.limit(0), ["id"], refs, "landed", broadcast_rows=broadcast_rows)
+    empty = orphan_references(child.limit(0), ["id"], refs, "landed", broadcast_bytes=broadcast_bytes)
     assert empty.count() == 0
-    lost = orphan_references(child, ["id"], [Reference("k", parent.limit(0), "k", "since")], "landed", broadcast_rows=broadcast_rows)
+    lost = orphan_references(child, ["id"], [Reference("k", parent.limit(0), "k", "since")], "landed", broadcast_bytes=broadcast_bytes)
     assert lost.count() == child.where("k IS NOT NULL").count()
     counts = orphan_counts(orphan_references(child, ["id", "landed"], refs, "landed"), ["landed"]).collect()
     assert sum(r.orphans for r in counts) == len(want)
@@ -95,8 +95,8 @@ def test_measured_join_salted_equals_broadcast(spark):
     left = spark.range(500).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 20 END AS k")
     right = spark.range(0, 15).selectExpr("id AS kk", "id * 2 AS v")
     for how in ("inner", "left"):
-        a = measured_join(left, right, "k", "kk", how, 15, F.col("id"))
-        b = measured_join(left, right, "k", "kk", how, 15, F.col("id"), broadcast_rows=0)
+        a = measured_join(left, right, "k", "kk", how, sizes_of(right)[0], F.col("id"))
+        b = measured_join(left, right, "k", "kk", how, sizes_of(right)[0], F.col("id"), broadcast_bytes=0)
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
@@ -131,10 +131,20 @@ def test_trailing_against_brute_force(spark):
 def test_heavy_keys(spark):
     rows = [("hot", i % 5) for i in range(500)] + [("warm", 1)] * 60 + [(f"k{i}", i % 7) for i in range(400)] + [(None, 3)] * 40
     df = spark.createDataFrame(rows, "k string, v int").repartition(6)
-    found = heavy_hitters(df, "k", 0.06)
-    assert found[1] == 1000 and {"hot", "warm"} <= set(found[0])
-    assert sorted(map(tuple, heavy_counts(df, "k", 0.06).collect())) == [("hot", 500), ("warm", 60)]
-    assert [tuple(r) for r in heavy_counts(df, "k", 0.5).collect()] == [("hot", 500)]
+    found = heavy_hitters(df, ["k", "v"], 0.06)
+    assert found[1] == 1000 and {"hot", "warm"} <= set(found[0]["k"]) and set(found[0]["v"]) == set(range(7))
+    assert sorted(map(tuple, heavy_counts(df, ["k"], 0.06).collect())) == [("k", "hot", 500), ("k", "warm", 60)]
+    assert [tuple(r) for r in heavy_counts(df, ["k", "v"], 0.5).collect()] == [("k", "hot", 500)]
+    with pytest.raises(ValueError):
+        heavy_hitters(df, ["k"], 1e-6)
+    both = per_keys(df, ["k", "v"], {"n": F.count(F.lit(1)), "s": F.sum("v")}, {"n": "sum", "s": "sum"}, 0.06)
+    by_v = {r.key_value: (r.n, r.s) for r in both.where("key_column = 'v'").collect()}
+    assert by_v == {str(r.v): (r.n, r.s) for r in df.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s")).collect()}
+    assert {r.key_value for r in both.where("key_column = 'k' AND is_heavy").collect()} >= {"hot", "warm"}
+    # Two scans whatever the number of columns: the sketches (done), and the one that both weights share.
+    both.collect()
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReusedExchange") + plan.count("ReusedQueryStage") >= 1 or "ResultQueryStage" in plan
     got = per_key(df, "k", {"n": F.count(F.lit(1)), "s": F.sum("v"), "top": F.max("v")}, {"n": "sum", "s": "sum", "top": "max"}, 0.06)
     plain = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.max("v").alias("top"))
     assert sorted(map(str, got.drop("is_heavy").collect())) == sorted(map(str, plain.collect()))
@@ -165,6 +175,44 @@ def test_profile_metrics_and_deltas(spark, tmp_path):
     want = value_counts(df.where("n IS NULL OR n <> 10").unionByName(gone.withColumn("n", F.lit(4))), "t")
     assert sorted(map(str, state.collect())) == sorted(map(str, apply_delta(want).collect()))
     assert [n for n, _ in store.versions()] == [1, 2]
+    some = store.state([("t", "value")]).collect()
+    assert {r.column_name for r in some} == {"value"} and len(some) == 3
+
+
+def test_a_load_rewrites_only_what_it_touches(spark, tmp_path):
+    store = ValueCountStore(spark, str(tmp_path / "store"), buckets=4)
+    store.apply("one", value_counts(spark.range(1000).selectExpr("id AS a", "id % 10 AS b", "'x' AS c"), "t"))
+    store.apply("two", value_counts(spark.createDataFrame([(5,)], "b long"), "t", ["b"]), value_counts(spark.createDataFrame([("x",)], "c string"), "t", ["c"], sign=-1))
+    folders = lambda v: sorted(p.name for p in (tmp_path / "store" / "data" / f"v={v:08d}").glob("part=*"))
+    assert len(folders(1)) >= 7 and len(folders(2)) == 2  # one bucket of b, one of c; none of a
+    got = {(r.column_name, r.value): r.n for r in store.state().collect() if r.column_name != "a"}
+    assert got["b", "5"] == 101 and got["b", "4"] == 100 and got["c", "x"] == 999
+    store.apply("three", value_counts(spark.range(999).selectExpr("'x' AS c"), "t", sign=-1))
+    assert store.state([("t", "c")]).count() == 0 and store.state([("t", "a")]).count() == 1000
+    again = ValueCountStore(spark, str(tmp_path / "store"))
+    assert [load for _, load in again.versions()] == ["one", "two", "three"] and again.state([("t", "b")]).count() == 10
+
+
+def test_violations(spark):
+    df = spark.createDataFrame([(0, "a", "a: x"), (2, "a", "b: x"), (None, None, "a: y"), (2, "b", None)], "v int, r string, d string").withColumn("pair", F.struct("r", "d"))
+    said = F.from_json("value", "v struct<r: string, d: string>")["v"]
+    rules = [Rule("t", "v", F.col("value_num") > 1), Rule("t", "d", said["d"].isNotNull() & ~F.coalesce(said["d"].startswith(said["r"]), F.lit(False)), "pair")]
+    got = {r.column_name: r.violations for r in metrics(value_counts(df, "t"), rules).collect()}
+    assert got == {"v": 2, "r": None, "d": 2}
+    assert metrics(value_counts(df.limit(0), "t"), rules).count() == 0
+
+
+def test_text_files(spark, tmp_path):
+    path = str(tmp_path / "a" / "x.json")
+    assert read_text(spark, path) is None
+    for text in ("é1", "twö", ""):
+        write_text(spark, path, text)
+        assert read_text(spark, path) == text
+
+
+def test_sizes(spark):
+    a, b = sizes_of(spark.range(10), spark.createDataFrame([("x" * 1000, [1]), (None, None)], "s string, l array<int>"))
+    assert (a.rows, a.bytes) == (10, 240) and b.rows == 2 and 1064 <= b.bytes < 1200
 
 
 def test_shift_between_loads(spark):
