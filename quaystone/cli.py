@@ -8,6 +8,7 @@ import sys
 from datetime import date
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +16,12 @@ from quaystone import schema
 from quaystone.functions import text, vectors
 from quaystone.operators import merge, quality, rollups
 from quaystone.operators.runlog import RunLog
-from quaystone.session import ship_package
+from quaystone.session import cut, read_text, ship_package
 from quaystone.sources import scan
 from quaystone.sources.scan import Scope
 
+#: Texts of one call of the embedder.
+EMBED_BATCH = 32
 DIMENSIONS = (schema.DIM_DATE, schema.DIM_STATION, schema.DIM_RELATION)
 
 
@@ -39,14 +42,18 @@ def _source(spark: SparkSession, export: str, name: str) -> str:
     raise scan.ScanError(f"{export} has no {name}")
 
 
-def _manifest(export: str) -> scan.Manifest | None:
-    path = Path(export, "manifest.json")
-    return scan.read_manifest(path.read_text()) if path.exists() else None
+def _manifest(spark: SparkSession, a) -> scan.Manifest | None:
+    """The export's manifest from whatever file system it lies on; None only if the caller said that there is none."""
+    text = read_text(spark, f"{a.export}/manifest.json")
+    if text is None and not a.no_manifest:
+        raise scan.ScanError(f"{a.export} has no manifest.json")
+    return scan.read_manifest(text) if text is not None else None
 
 
 def load_dims(spark: SparkSession, a) -> dict:
     """Upsert the dimensions; counts are held against the manifest before anything is published."""
-    manifest, merged = _manifest(a.export), {}
+    manifest, merged = _manifest(spark, a), {}
+    problems: list[str] = []
     for t in DIMENSIONS:
         new = scan.read_table(spark, _source(spark, a.export, t.name), t, optional=("observed_stop_events",), tolerate=("loaded_at",))
         broken = scan.violations(new, schema.Table(t.name, t.comment, {c: v for c, v in t.columns.items() if c in new.columns}, t.grain, rules=t.rules)).where("rows_failed > 0").collect()
@@ -54,10 +61,12 @@ def load_dims(spark: SparkSession, a) -> dict:
             raise scan.ScanError(f"{t.name}: {[(r.rule, r.rows_failed) for r in broken]}")
         if "observed_stop_events" in t.columns and "observed_stop_events" not in new.columns:
             new = new.withColumn("observed_stop_events", F.lit(None).cast("int"))
-        if manifest and t.name in manifest.dimensions and new.count() != manifest.dimensions[t.name]:
-            raise scan.ScanError(f"{t.name}: {new.count()} rows, the manifest has {manifest.dimensions[t.name]}")
+        if manifest:
+            problems += scan.dimension_gate(manifest, t.name, new.count())
         path = f"{a.lake}/gold/{t.name}"
         merged[t.name] = merge.upsert(_gold(spark, a.lake, t.name), new.select(*t.columns), list(t.grain)) if _exists(spark, path) else new.select(*t.columns).withColumn("outcome", F.lit("inserted"))
+    if problems:
+        raise scan.ScanError("; ".join(problems))
     out = {}
     for name, df in merged.items():
         out[name] = {r.outcome: r["count"] for r in df.groupBy("outcome").count().collect()}
@@ -71,7 +80,8 @@ def load_fact(spark: SparkSession, a) -> dict:
     run = log.start(a.export)
     try:
         batch = scan.read_table(spark, _source(spark, a.export, "fact_stop_event"), schema.EXPORT, scope, tolerate=("loaded_at", "measured_arrivals"))
-        flags = quality.flagged(batch, *[_gold(spark, a.lake, t.name) for t in DIMENSIONS])
+        # The flags are judged, counted, quarantined and promoted from one staged table.
+        flags = cut(quality.flagged(batch, *[_gold(spark, a.lake, t.name) for t in DIMENSIONS]))
         path = f"{a.lake}/gold/fact_stop_event"
         now = _gold(spark, a.lake, "fact_stop_event") if _exists(spark, path) else None
         fact, bad = merge.load_fact(flags, now, scope, a.on_violation)
@@ -80,14 +90,15 @@ def load_fact(spark: SparkSession, a) -> dict:
             bad.write.mode("overwrite").parquet(f"{a.lake}/ops/quarantine/{run}")
         if fact is None:
             raise scan.ScanError(f"{rejected} rows rejected")
-        on_disk = batch.count()
-        manifest = _manifest(a.export)
-        problems = scan.coverage_gate(manifest, on_disk, on_disk, scope) if manifest else []
+        manifest = _manifest(spark, a)
+        # What is to be published in scope, against what the files hold.
+        loaded = fact.where(scope.column()).count()
+        problems = scan.coverage_gate(manifest, loaded, batch.count(), scope) if manifest else []
         if problems:
             raise scan.ScanError("; ".join(problems))
         merge.publish(fact.repartitionByRange("date_key"), path, "date_key")
-        log.finish(run, on_disk - rejected, rejected)
-        return {"loaded": on_disk - rejected, "rejected": rejected}
+        log.finish(run, loaded, rejected)
+        return {"loaded": loaded, "rejected": rejected}
     except Exception as e:
         log.fail(run, str(e))
         raise
@@ -127,11 +138,57 @@ def kb_build(spark: SparkSession, a) -> dict:
         raise scan.ScanError("repeated positions in the corpus")
     ship_package(spark)
     kept = corpus.join(stored, ["doc_id", "chunk_index", "content_hash"], "left")
-    embed = F.udf(lambda h, c: embedder.embed([f"{h}\n\n{c}" if h else c])[0], "array<double>")
-    merge.publish(kept.withColumn("embedding", F.coalesce("embedding", embed("heading", "content"))), path)
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(texts), dtype=object)
+        wanted = [i for i, t in enumerate(texts) if t is not None]
+        for k in range(0, len(wanted), EMBED_BATCH):
+            part = wanted[k : k + EMBED_BATCH]
+            vectors_ = embedder.embed([texts[i] for i in part])
+            if any(len(v) != a.dimensions for v in vectors_):
+                raise ValueError(f"a vector of another width than {a.dimensions}")
+            for i, v in zip(part, vectors_):
+                out[i] = v
+        return out
+
+    # Only texts without a vector reach the embedder, in batches.
+    missing = F.when(F.col("embedding").isNull(), text.embedding_text(F.col("heading"), F.col("content")))
+    merge.publish(kept.withColumn("embedding", F.coalesce("embedding", embed(missing))), path)
     return outcome
 
 
+def db_init(spark: SparkSession, a) -> dict:
+    """Empty tables with the declared schemas where the lake has none, named in the catalogue; what was there stays."""
+    made = []
+    for name, t in schema.STAR.items():
+        if not _exists(spark, f"{a.lake}/gold/{name}"):
+            empty = spark.createDataFrame([], t.struct)
+            merge.publish(empty, f"{a.lake}/gold/{name}", t.partitioned_by)
+            made.append(name)
+    return {"made": made, "tables": _register(spark, a.lake)}
+
+
+def kb_init(spark: SparkSession, a) -> dict:
+    """An empty chunk store of the given width; one of another width is an error."""
+    path = f"{a.lake}/rag/kb_chunk"
+    if not _exists(spark, path):
+        merge.publish(spark.createDataFrame([], "doc_id string, chunk_index int, heading string, content string, content_hash string, embedding array<double>"), path)
+        return {"made": True}
+    other = [r.width for r in vectors.widths(spark.read.parquet(path), "embedding", a.dimensions).where("NOT fits").collect()]
+    if other:
+        raise scan.ScanError(f"the store holds vectors of width {other}, not {a.dimensions}")
+    return {"made": False}
+
+
+def kb_drop(spark: SparkSession, a) -> dict:
+    """Remove the chunk store; the tables stay."""
+    if not a.yes:
+        raise scan.ScanError("nothing was dropped: say --yes")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{a.lake}/rag")
+    return {"dropped": p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)}
+
+
 def kb_search(spark: SparkSession, a) -> list:
     (q,) = vectors.SeededEmbedder(a.dimensions).embed([a.question])
     near = vectors.nearest(spark.read.parquet(f"{a.lake}/rag/kb_chunk"), "embedding", q, a.top, ["doc_id", "chunk_index"], floor=a.floor)
@@ -152,9 +209,12 @@ def _register(spark: SparkSession, lake: str) -> list[str]:
     spark.sql("CREATE DATABASE IF NOT EXISTS gold")
     for n in names:
         spark.sql(f"DROP TABLE IF EXISTS gold.{n}")
-        spark.catalog.createTable(f"gold.{n}", f"{lake}/gold/{n}", "parquet")
-        if spark.table(f"gold.{n}").isEmpty():
+        if key := schema.STAR[n].partitioned_by:
+            # Declared, for an empty folder tells no columns.
+            spark.sql(f"CREATE TABLE gold.{n} ({', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema.STAR[n].struct)}) USING parquet PARTITIONED BY ({key}) LOCATION '{lake}/gold/{n}'")
             spark.catalog.recoverPartitions(f"gold.{n}")
+        else:
+            spark.catalog.createTable(f"gold.{n}", f"{lake}/gold/{n}", "parquet")
     return names
 
 
@@ -218,24 +278,24 @@ def evaluate(spark: SparkSession, a) -> dict:
             return Reply("data", refused=str(e))
         return Reply(got.route, got.result.rows if got.result else None, got.sources)
 
-    return report(run(cases, answer, expected.of, a.out))
+    return report(run(cases, answer, expected.of, a.out), [c.id for c in cases])
 
 
 def query(spark: SparkSession, a) -> dict:
     """A read-only query under guard, lint, ceiling and timeout."""
     from quaystone.plans.execute import check_cost, execute, plain
-    from quaystone.plans.guard import Policy, validate
+    from quaystone.plans.guard import Policy, analysed, validate
     from quaystone.plans.lint import lint
 
     names = _register(spark, a.lake)
     policy = Policy(frozenset(f"gold.{n}" for n in names), a.max_rows, a.timeout)
     safe = validate(spark, a.sql, policy)
-    check_cost(spark.sql(safe.sql), policy)
+    check_cost(analysed(spark, safe), policy)
     got = execute(spark, safe, policy)
     return {"columns": got.columns, "rows": [[plain(c) for c in r] for r in got.rows], "truncated": got.truncated, "findings": lint(spark, safe.sql, {t.name: (t.partitioned_by or "", frozenset(t.columns)) for t in schema.STAR.values()})}
 
 
-COMMANDS = {"load-dims": load_dims, "load-fact": load_fact, "finalize": finalize, "refresh-rollups": refresh_rollups, "profile": profile, "kb-build": kb_build, "kb-search": kb_search, "docs-parse": docs_parse, "query": query, "ping": ping, "drop": drop, "ask": ask, "eval": evaluate}
+COMMANDS = {"load-dims": load_dims, "load-fact": load_fact, "finalize": finalize, "refresh-rollups": refresh_rollups, "profile": profile, "db-init": db_init, "kb-init": kb_init, "kb-drop": kb_drop, "kb-build": kb_build, "kb-search": kb_search, "docs-parse": docs_parse, "query": query, "ping": ping, "drop": drop, "ask": ask, "eval": evaluate}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -246,11 +306,12 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--lake", required=True, help="folder of the tables")
         if name in ("load-dims", "load-fact"):
             c.add_argument("--export", required=True)
+            c.add_argument("--no-manifest", action="store_true", help="the export has none, so nothing is held against it")
         if name == "load-fact":
             c.add_argument("--from", dest="start", type=date.fromisoformat)
             c.add_argument("--to", dest="end", type=date.fromisoformat, help="exclusive")
             c.add_argument("--on-violation", choices=("fail", "skip"), default="fail")
-        if name == "drop":
+        if name in ("drop", "kb-drop"):
             c.add_argument("--yes", action="store_true")
         if name in ("ask", "eval"):
             c.add_argument("--replies", required=True, help="file of stored replies")

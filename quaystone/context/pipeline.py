@@ -15,7 +15,7 @@ from quaystone.functions import vectors
 from quaystone.functions.text import route as route_expression
 from quaystone.operators import rollups
 from quaystone.plans.execute import QueryFailed, QueryResult, QueryTooExpensive, check_cost, execute
-from quaystone.plans.guard import Policy, SafeQuery, UnsafeQuery, validate
+from quaystone.plans.guard import Policy, SafeQuery, UnsafeQuery, analysed, validate
 from quaystone.plans.lint import lint
 from quaystone.schema import STAR
 
@@ -132,7 +132,8 @@ class AnswerPipeline:
             try:
                 with span("sql_checks"):
                     findings = lint(self.spark, query.sql, self.tables)
-                    check_cost(self.spark.sql(query.sql), self.policy)
+                    cost = check_cost(analysed(self.spark, query), self.policy)
+                    annotate(findings=list(findings), partitions=cost.partitions if cost else {})
                 with span("execute"):
                     result = execute(self.spark, query, self.policy)
             except (QueryTooExpensive, QueryFailed) as e:

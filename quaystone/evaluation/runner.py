@@ -9,11 +9,14 @@ import time
 from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
+from datetime import datetime
 from pathlib import Path
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import SparkSession
 
 from quaystone.evaluation.compare import Spec, compare, hit_at, reciprocal_rank
+from quaystone.session import read_text, write_text
 
 
 @dataclass(frozen=True)
@@ -67,23 +70,53 @@ def judge(case: Case, reply: Reply, expected: list[tuple] | None, k: int = 4) ->
 class ExpectedResults:
     """Results of the reference SQL, kept under a hash of the SQL and a signal of the data: rows and sums, not only its first and last day."""
 
-    def __init__(self, spark: SparkSession, path: str, signal: str):
-        self.spark, self.path, self.signal = spark, Path(path), signal
+    def __init__(self, spark: SparkSession, path: str, signal: str, most_rows: int = 100_000):
+        self.spark, self.path, self.signal, self.most_rows = spark, path, signal, most_rows
 
     def of(self, sql: str) -> list[tuple]:
         key = hashlib.sha256(f"{self.signal}\0{sql}".encode()).hexdigest()
-        held = json.loads(self.path.read_text()) if self.path.exists() else {}
+        held = json.loads(read_text(self.spark, self.path) or "{}")
         if key not in held:
-            held[key] = [[c if isinstance(c, (int, float, str, bool, type(None))) else str(c) for c in r] for r in self.spark.sql(sql).limit(10_000).collect()]
-            self.path.write_text(json.dumps(held))
+            rows = self.spark.sql(sql).limit(self.most_rows + 1).collect()
+            if len(rows) > self.most_rows:
+                raise ValueError(f"the reference SQL gives more than {self.most_rows} rows; it cannot be a case's result")
+            held[key] = [[c if isinstance(c, (int, float, str, bool, type(None))) else str(c) for c in r] for r in rows]
+            write_text(self.spark, self.path, json.dumps(held))
         return [tuple(r) for r in held[key]]
 
 
+class DayBudget:
+    """Calls left of a day, kept in a file so that runs of one day share them. Days change at midnight, Pacific time."""
+
+    def __init__(self, path: str, per_day: int, now: Callable[[], datetime] | None = None):
+        self.path, self.per_day = Path(path), per_day
+        self.now = now or (lambda: datetime.now(ZoneInfo("America/Los_Angeles")))
+
+    def used(self) -> int:
+        held = json.loads(self.path.read_text()) if self.path.exists() else {}
+        return held.get("calls", 0) if held.get("day") == self.now().date().isoformat() else 0
+
+    def left(self) -> int:
+        return max(0, self.per_day - self.used())
+
+    def spend(self) -> None:
+        if not self.left():
+            raise RuntimeError("the day's calls are used up")
+        self.path.write_text(json.dumps({"day": self.now().date().isoformat(), "calls": self.used() + 1}))
+
+
+def calls_needed(cases: Sequence[Case], done: Sequence[str], undecided: Callable[[str], bool] = lambda question: False) -> int:
+    """Most calls that the open cases can make: one to route where phrases do not decide, two to write SQL (the second repairs), one to
+    tell the answer. Conceptual and refused cases are told from passages or not at all."""
+    open_cases = [c for c in cases if c.id not in set(done)]
+    return sum(undecided(c.question) + (3 if c.sql or c.behaviour else 1) for c in open_cases)
+
+
 class ReplyCache:
     """Replies of a text generator by prompt, so that a run can be replayed without calls."""
 
-    def __init__(self, path: str, generate: Callable[[str], str], per_minute: int | None = None, per_day: int | None = None, clock=time.monotonic, sleep=time.sleep):
-        self.path, self.generate, self.gap, self.left, self.clock, self.sleep = Path(path), generate, 60 / per_minute if per_minute else 0, per_day, clock, sleep
+    def __init__(self, path: str, generate: Callable[[str], str], per_minute: int | None = None, budget: DayBudget | None = None, clock=time.monotonic, sleep=time.sleep):
+        self.path, self.generate, self.gap, self.budget, self.clock, self.sleep = Path(path), generate, 60 / per_minute if per_minute else 0, budget, clock, sleep
         self.held = json.loads(self.path.read_text()) if self.path.exists() else {}
         self.hits = self.calls = 0
         self.last = None
@@ -93,8 +126,8 @@ class ReplyCache:
         if key in self.held:
             self.hits += 1
             return self.held[key]
-        if self.left is not None and self.calls >= self.left:
-            raise RuntimeError("the day's calls are used up")
+        if self.budget is not None:
+            self.budget.spend()
         if self.last is not None and (wait := self.last + self.gap - self.clock()) > 0:
             self.sleep(wait)
         self.last, self.calls = self.clock(), self.calls + 1
@@ -127,8 +160,16 @@ def run(cases: Sequence[Case], answer: Callable[[str], Reply], expected: Callabl
     return [done[c.id] for c in cases]
 
 
-def report(results: Sequence[dict]) -> dict:
-    """Rates over the cases that are no known limitation; latencies over all."""
+def percentile(values: Sequence[float], q: float) -> float:
+    """By linear interpolation between neighbours."""
+    ordered, at = sorted(values), (len(values) - 1) * q
+    low = int(at)
+    return ordered[low] + (ordered[min(low + 1, len(ordered) - 1)] - ordered[low]) * (at - low)
+
+
+def report(results: Sequence[dict], expected_ids: Sequence[str] = ()) -> dict:
+    """Rates over the cases that are no known limitation; latencies, lint, partitions, tokens and retries over all. A run that lacks
+    an expected case is incomplete."""
     counted = [r for r in results if not r["known_limitation"]]
 
     def share(kind):
@@ -136,6 +177,10 @@ def report(results: Sequence[dict]) -> dict:
         return {"passed": sum(r["passed"] for r in mine), "of": len(mine)}
 
     ranks = [r["metrics"]["rr"] for r in counted if "rr" in r["metrics"]]
+    traces = [r["trace"] for r in results]
+    linted = [t["findings"] for t in traces if t.get("findings") is not None]
+    parts = [n for t in traces for n in (t.get("partitions") or {}).values()]
+    calls = [c for t in traces for s in t.get("spans", []) for c in s.get("provider_calls", [])]
     spans: dict[str, list[float]] = {}
     for r in results:
         for s in r["trace"].get("spans", []):
@@ -145,8 +190,12 @@ def report(results: Sequence[dict]) -> dict:
         **{k: share(k) for k in ("sql", "sources", "no_data", "refused")},
         "mrr": statistics.mean(ranks) if ranks else None,
         "failures": dict(Counter(r["reason"] for r in results if not r["passed"])),
-        "median_ms": {k: statistics.median(v) for k, v in spans.items()},
-        "incomplete": False,
+        "spans_ms": {k: {"n": len(v), "p50": round(percentile(v, 0.5), 1), "p95": round(percentile(v, 0.95), 1)} for k, v in spans.items()},
+        "lint": {"passed": sum(not f for f in linted), "of": len(linted)},
+        "partitions": statistics.median(parts) if parts else None,
+        "tokens": {k: sum(c.get(k) or 0 for c in calls) for k in ("prompt", "output", "thought")},
+        "retries": sum(c.get("retries") or 0 for c in calls),
+        "incomplete": bool(expected_ids) and not set(expected_ids) <= {r["id"] for r in results},
     }
 
 
@@ -155,6 +204,10 @@ def markdown(summary: dict) -> str:
     lines += [f"| {k} | {v['passed']} | {v['of']} |" for k, v in summary.items() if isinstance(v, dict) and "of" in v]
     if summary["mrr"] is not None:
         lines.append(f"\nMean reciprocal rank: {summary['mrr']:.3f}")
+    if summary["spans_ms"]:
+        lines += ["", "| span | n | p50 ms | p95 ms |", "|---|---|---|---|", *[f"| {k} | {v['n']} | {v['p50']} | {v['p95']} |" for k, v in summary["spans_ms"].items()]]
+    if summary["incomplete"]:
+        lines += ["", "The run is incomplete."]
     lines += ["", "| failure | cases |", "|---|---|", *[f"| {k} | {v} |" for k, v in summary["failures"].items()]] if summary["failures"] else []
     return "\n".join(lines)
 

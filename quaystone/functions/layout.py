@@ -16,13 +16,53 @@ def clusters(df: DataFrame, by: list[str], position: str, tolerance: float) -> D
     return numbered.groupBy(*by, "cluster_no").agg(F.avg(position).alias("centre"), F.count(F.lit(1)).alias("members"))
 
 
-def column_edges(rules: DataFrame, doc: str, page: str, x: str, tolerance: float = 2.0, quorum: float = 0.5) -> DataFrame:
-    """Vertical edges of a document: clusters of rule positions that stand on at least the quorum of its pages."""
-    pages = rules.groupBy(doc).agg(F.countDistinct(page).alias("pages"))
-    w = Window.partitionBy(doc).orderBy(x)
-    numbered = rules.withColumn("cluster_no", F.sum(F.when(F.col(x) - F.lag(x).over(w) > tolerance, 1).otherwise(0)).over(w))
-    found = numbered.groupBy(doc, "cluster_no").agg(F.avg(x).alias("edge"), F.countDistinct(page).alias("votes"))
-    return found.join(pages, doc).where(F.col("votes") >= F.col("pages") * quorum).select(doc, "edge", "votes", "pages")
+#: Fixed values, in points: the thickest and the narrowest mark that is an edge, how far positions of one edge may differ, and the
+#: share of a section's pages that must agree on a column.
+MAX_THICKNESS, MIN_WIDTH, TOLERANCE, QUORUM = 2.0, 40.0, 2.0, 0.5
+
+
+def centres(positions: Column, tolerance: float = TOLERANCE) -> Column:
+    """Means of the clusters of an array of positions; neighbours in a cluster are at most ``tolerance`` apart."""
+    empty = F.array().cast("array<struct<total:double,members:int,last:double>>")
+
+    def step(done: Column, at: Column) -> Column:
+        last = F.element_at(done, -1)
+        one = F.struct(at.alias("total"), F.lit(1).alias("members"), at.alias("last"))
+        grown = F.struct((last["total"] + at).alias("total"), (last["members"] + 1).alias("members"), at.alias("last"))
+        return F.when((F.size(done) > 0) & (at - last["last"] <= tolerance), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(one)))
+
+    return F.transform(F.aggregate(F.array_sort(positions), empty, step), lambda c: c["total"] / c["members"])
+
+
+def page_rules(shapes: DataFrame, doc: str, page: str) -> DataFrame:
+    """(doc, page, x0, x1, y) of the marks thin and wide enough to be an edge; ``shapes`` has x0, x1, top and bottom as drawn."""
+    edge = (F.abs(F.col("bottom") - F.col("top")) <= MAX_THICKNESS) & (F.abs(F.col("x1") - F.col("x0")) >= MIN_WIDTH)
+    return shapes.where(edge).select(doc, page, F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"), ((F.col("top") + F.col("bottom")) / 2).cast("double").alias("y"))
+
+
+def column_edges(rules: DataFrame, pages: DataFrame, doc: str, page: str) -> DataFrame:
+    """doc, ``edges``: the vertical edges on which a section's pages agree; sections with fewer than two have no row.
+
+    A position counts on a page if marks begin or end there at two heights or more, which an underline drawn once does not. It must
+    count on half of the section's pages, those without marks included (``pages`` lists them all). All marks of a page are one array.
+    """
+    marks = rules.groupBy(doc, page).agg(F.collect_list(F.struct("x0", "x1", "y")).alias("marks"))
+
+    def heights(edge: Column) -> Column:
+        touching = F.filter("marks", lambda m: (F.abs(m["x0"] - edge) <= TOLERANCE) | (F.abs(m["x1"] - edge) <= TOLERANCE))
+        return F.size(F.array_distinct(F.transform(touching, lambda m: m["y"])))
+
+    ends = F.flatten(F.transform("marks", lambda m: F.array(m["x0"], m["x1"])))
+    voted = marks.select(doc, page, F.explode(F.array_distinct(F.transform(F.filter(centres(ends), lambda e: heights(e) >= 2), lambda e: F.round(e, 1)))).alias("edge"))
+    total = pages.select(doc, page).distinct().groupBy(doc).agg(F.count(F.lit(1)).alias("total"))
+    agreed = voted.groupBy(doc, "edge").agg(F.count(F.lit(1)).alias("votes")).join(total, doc).where(F.col("votes") >= F.greatest(F.lit(1), F.floor(F.col("total") * QUORUM)))
+    return agreed.groupBy(doc).agg(centres(F.collect_list("edge")).alias("edges")).where(F.size("edges") >= 2)
+
+
+def row_edges(rules: DataFrame, columns: DataFrame, doc: str, page: str) -> DataFrame:
+    """doc, page, ``rows``: heights of the marks that reach from one column edge to the next; a page with fewer than two has no table."""
+    spans = F.exists(F.sequence(F.lit(0), F.size("edges") - 2), lambda i: (F.abs(F.col("x0") - F.col("edges")[i]) <= TOLERANCE) & (F.abs(F.col("x1") - F.col("edges")[i + 1]) <= TOLERANCE))
+    return rules.join(columns, doc).where(spans).groupBy(doc, page).agg(centres(F.collect_list("y")).alias("rows")).where(F.size("rows") >= 2)
 
 
 def cell_of(position: Column, edges: Column) -> Column:
@@ -32,7 +72,7 @@ def cell_of(position: Column, edges: Column) -> Column:
 
 
 def running_lines(lines: DataFrame, doc: str, page: str, text: str, share: float = 0.8) -> DataFrame:
-    """doc, shape, pages: lines that repeat, but for digits and case, on at least ``share`` of the pages and on two or more."""
+    """doc, shape, pages: lines that repeat, but for digits and spacing, on at least ``share`` of the pages and on two or more."""
     shaped = lines.select(doc, page, line_shape(F.col(text)).alias("shape")).where(F.col("shape") != "")
     total = lines.groupBy(doc).agg(F.countDistinct(page).alias("total"))
     seen = shaped.groupBy(doc, "shape").agg(F.countDistinct(page).alias("pages"))

@@ -26,13 +26,18 @@ NAMED_SECRET = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key)(['\"]?\s*[:=
 
 
 def flat(text: Column) -> Column:
-    """White space collapsed to single blanks, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """White space of any script collapsed to single blanks, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"(?U)[\s\x1C-\x1F]+", " "))
+
+
+def folded(text: Column) -> Column:
+    """A key to compare headings by: without case and spacing."""
+    return F.lower(flat(text))
 
 
 def line_shape(text: Column) -> Column:
-    """A line without case, spacing and digits, so that page numbers do not tell running lines apart."""
-    return F.regexp_replace(F.lower(flat(text)), r"\d+", "#")
+    """A line without spacing and digits, so that page numbers do not tell running lines apart; case does."""
+    return F.regexp_replace(flat(text), r"(?U)\d+", "#")
 
 
 def redact(text: Column) -> Column:
@@ -60,10 +65,16 @@ def markers(text: Column, phrases: tuple[str, ...]) -> Column:
 
 
 def route(text: Column) -> Column:
-    """data, conceptual, or null where the phrases are even; a bare year speaks for data."""
+    """data or conceptual where phrases of one kind only occur, else null: a mixed question is not decided here. A bare year speaks for data."""
     data = markers(text, DATA_MARKERS) + F.when(text.rlike(r"\b(19|20)\d{2}\b"), 1).otherwise(0)
     concept = markers(text, CONCEPT_MARKERS)
-    return F.when(data > concept, F.lit("data")).when(concept > data, F.lit("conceptual"))
+    return F.when((data > 0) & (concept == 0), F.lit("data")).when((concept > 0) & (data == 0), F.lit("conceptual"))
+
+
+#: Whatever ends a line, as a pattern.
+LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
+#: What parts two paragraphs.
+PARAGRAPH_BREAK = r"(?U)\n\s*\n"
 
 
 def hard_split(text: Column, size: int) -> Column:
@@ -85,23 +96,30 @@ def sections(df: DataFrame, doc_id: str, text: str) -> DataFrame:
         opened = F.concat(done, F.array(F.struct(F.when(line.rlike(r"^#{1,6}\s+"), heading).alias("heading"), F.when(line.rlike(r"^#{1,6}\s+"), F.array().cast("array<string>")).otherwise(F.array(line)).alias("lines"))))
         return F.when(line.rlike(r"^#{1,6}\s+") | (F.size(done) == 0), opened).otherwise(grown)
 
-    lines = F.split(F.regexp_replace(F.col(text), "\r\n?", "\n"), "\n")
+    lines = F.split(F.col(text), LINE_END)
     cut = df.select(F.col(doc_id), F.posexplode(F.aggregate(lines, empty, step)).alias("section_no", "s"))
-    out = cut.select(doc_id, "section_no", F.col("s.heading").alias("heading"), F.regexp_replace(F.array_join("s.lines", "\n"), r"^\s+|\s+$", "").alias("body"))
+    out = cut.select(doc_id, "section_no", F.col("s.heading").alias("heading"), F.regexp_replace(F.array_join("s.lines", "\n"), r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "").alias("body"))
     return out.where(F.col("body") != "")
 
 
-def packed(paragraphs: Column, limit: int = MAX_CHARS) -> Column:
-    """Paragraphs joined in order into pieces of at most ``limit`` characters; a longer paragraph is cut hard."""
-    empty = F.array().cast("array<string>")
-    parts = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) > limit, hard_split(p, limit)).otherwise(F.array(p))))
+def packed(body: Column, limit: int = MAX_CHARS) -> Column:
+    """A body as pieces of at most ``limit`` characters: as it is if it fits, else its paragraphs joined in order as far as they fit.
 
-    def step(done: Column, part: Column) -> Column:
-        last = F.element_at(done, -1)
-        fits = (F.size(done) > 0) & (F.length(last) + 2 + F.length(part) <= limit)
-        return F.when(fits, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(last, F.lit("\n\n"), part)))).otherwise(F.concat(done, F.array(part)))
+    A paragraph longer than the limit is cut hard, and nothing is joined to its pieces. A fold inside the row, without a shuffle.
+    """
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("open"))
+
+    def step(done: Column, paragraph: Column) -> Column:
+        joined = F.when(done["open"] == "", paragraph).otherwise(F.concat(done["open"], F.lit("\n\n"), paragraph))
+        closed = F.when(done["open"] == "", done["parts"]).otherwise(F.concat(done["parts"], F.array(done["open"])))
+        return (
+            F.when(F.length(joined) <= limit, F.struct(done["parts"].alias("parts"), joined.alias("open")))
+            .when(F.length(paragraph) <= limit, F.struct(closed.alias("parts"), paragraph.alias("open")))
+            .otherwise(F.struct(F.concat(closed, hard_split(paragraph, limit)).alias("parts"), F.lit("").alias("open")))
+        )
 
-    return F.aggregate(parts, empty, step)
+    pieces = F.aggregate(F.split(body, PARAGRAPH_BREAK), start, step, lambda x: F.when(x["open"] == "", x["parts"]).otherwise(F.concat(x["parts"], F.array(x["open"]))))
+    return F.when(F.length(body) <= limit, F.array(body)).otherwise(pieces)
 
 
 def merge_short(df: DataFrame, doc_id: str, order: str, text: str, least: int = MIN_CHARS) -> DataFrame:
@@ -116,8 +134,7 @@ def merge_short(df: DataFrame, doc_id: str, order: str, text: str, least: int =
 def chunks(df: DataFrame, doc_id: str, text: str, limit: int = MAX_CHARS, least: int = MIN_CHARS) -> DataFrame:
     """doc_id, chunk_index, heading, content, content_hash: sections, packed to size, short pieces merged."""
     cut = sections(df, doc_id, text)
-    paragraphs = F.filter(F.transform(F.split("body", r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
-    pieces = cut.select(doc_id, "section_no", "heading", F.posexplode(packed(paragraphs, limit)).alias("part_no", "content"))
+    pieces = cut.select(doc_id, "section_no", "heading", F.posexplode(packed(F.col("body"), limit)).alias("part_no", "content"))
     pieces = pieces.withColumn("at", F.col("section_no") * 1_000_000 + F.col("part_no"))
     merged = merge_short(pieces, doc_id, "at", "content", least).join(pieces.select(doc_id, "at", "heading"), [doc_id, "at"])
     index = (F.row_number().over(Window.partitionBy(doc_id).orderBy("at")) - 1).alias("chunk_index")

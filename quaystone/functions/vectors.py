@@ -127,16 +127,18 @@ def pending(df: DataFrame, vector: str, model: str, wanted: str) -> DataFrame:
 
 
 class SeededEmbedder:
-    """A deterministic stand-in for an embedding model: a unit vector from a generator seeded by the text's SHA-256."""
+    """A deterministic stand-in for an embedding model: a unit vector from a generator seeded by the SHA-256 of model name and text."""
 
-    def __init__(self, dimensions: int = 768):
-        self.dimensions = dimensions
+    def __init__(self, dimensions: int = 768, model: str = "fake-embedding"):
+        if dimensions < 1:
+            raise ValueError("a vector has at least one dimension")
+        self.dimensions, self.model = dimensions, model
 
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
         out = []
         for text in texts:
-            rng = random.Random(int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big"))
+            rng = random.Random(int.from_bytes(hashlib.sha256(f"{self.model}:{text}".encode()).digest(), "big"))
             v = [rng.gauss(0, 1) for _ in range(self.dimensions)]
-            norm = math.sqrt(sum(x * x for x in v))
+            norm = math.sqrt(sum(x * x for x in v)) or 1.0
             out.append([x / norm for x in v])
         return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import time
 import uuid
@@ -29,6 +30,8 @@ class Estimate:
     scan_bytes: int
     files: int
     partitions_pruned: bool
+    #: Per table: the partitions that its scans read.
+    partitions: dict[str, int] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -55,7 +58,18 @@ def estimate(df: DataFrame) -> Estimate:
     plan = q.optimizedPlan()
     scan = sum(int(str(leaf.stats().sizeInBytes())) for leaf in _leaves(plan))
     text = q.executedPlan().toString()
-    return Estimate(int(str(plan.stats().sizeInBytes())), scan, len(df.inputFiles()), "PartitionFilters: [" in text and "PartitionFilters: []" not in text)
+    parts: dict[str, int] = {}
+    for leaf in _leaves(plan):
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.catalogTable().isDefined():
+            name = leaf.catalogTable().get().identifier().table()
+            parts[name] = parts.get(name, 0) + _partitions(leaf.relation())
+    return Estimate(int(str(plan.stats().sizeInBytes())), scan, len(df.inputFiles()), bool(re.search(r"PartitionFilters: \[[^\]]", text)), parts)
+
+
+def _partitions(relation) -> int:
+    """Folders of a partitioned table that are left after pruning; 1 for a table that is not."""
+    files = relation.location().inputFiles()
+    return len({f.rsplit("/", 1)[0] for f in files}) if relation.partitionSchema().length() else 1
 
 
 def check_cost(df: DataFrame, policy: Policy) -> Estimate | None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,7 @@ class Policy:
     max_scan_bytes: int | None = None
     default_schema: str = "gold"
     #: Functions that reach outside the data; by name, at any depth.
-    blocked_functions: frozenset[str] = frozenset({"reflect", "java_method", "try_reflect", "raise_error", "input_file_name", "input_file_block_start", "input_file_block_length", "assert_true", "current_user", "session_user", "version", "sleep", "ai_query", "http_request", "read_files"})
+    blocked_functions: frozenset[str] = frozenset({"reflect", "java_method", "try_reflect", "raise_error", "input_file_name", "input_file_block_start", "input_file_block_length", "assert_true", "current_user", "session_user", "user", "version", "sleep", "ai_query", "http_request", "read_files"})
 
 
 @dataclass(frozen=True)
@@ -38,6 +39,8 @@ class SafeQuery:
     sql: str
     limit: int
     tables: frozenset[str]
+    #: Where names without a schema are looked up, as they were when the query was admitted.
+    schema: str = "gold"
 
 
 def _seq(x) -> list:
@@ -110,6 +113,11 @@ def validate(spark: SparkSession, sql: str, policy: Policy) -> SafeQuery:
             tables.add(".".join(parts) if len(parts) > 1 else f"{policy.default_schema}.{parts[0]}")
         for e in _seq(node.expressions().toSeq()):
             for x in expression_nodes(e):
+                if x.getClass().getSimpleName() == "UnresolvedAttribute":
+                    # A bare name that is no column may be a function without brackets.
+                    parts = [p.lower() for p in _seq(x.nameParts().toSeq())]
+                    if len(parts) == 1 and parts[0] in policy.blocked_functions:
+                        raise UnsafeQuery(f"function {parts[0]} is not allowed")
                 if x.getClass().getSimpleName() == "UnresolvedFunction":
                     called = _seq(x.nameParts().toSeq())[-1].lower()
                     if called in policy.blocked_functions:
@@ -119,7 +127,7 @@ def validate(spark: SparkSession, sql: str, policy: Policy) -> SafeQuery:
     unknown = sorted(tables - {t.lower() for t in policy.tables})
     if unknown:
         raise UnsafeQuery(f"tables not allowed: {', '.join(unknown)}")
-    return SafeQuery(text, policy.max_rows, frozenset(tables))
+    return SafeQuery(text, policy.max_rows, frozenset(tables), policy.default_schema)
 
 
 _known: dict[int, frozenset[str]] = {}
@@ -134,4 +142,19 @@ def _builtin(spark: SparkSession) -> frozenset[str]:
 
 def capped(spark: SparkSession, query: SafeQuery) -> DataFrame:
     """The query's result under the row cap: added where there is no limit, tightened where it is larger, kept where it is smaller."""
-    return spark.sql(query.sql).limit(query.limit)
+    return analysed(spark, query).limit(query.limit)
+
+
+_looking_up = threading.Lock()
+
+
+def analysed(spark: SparkSession, query: SafeQuery) -> DataFrame:
+    """The query with its names resolved; analysis is over when this returns, so the session's own schema is back then."""
+    with _looking_up:
+        now = spark.catalog.currentDatabase()
+        if spark.catalog.databaseExists(query.schema):
+            spark.catalog.setCurrentDatabase(query.schema)
+        try:
+            return spark.sql(query.sql)
+        finally:
+            spark.catalog.setCurrentDatabase(now)

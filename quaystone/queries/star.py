@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+import uuid
 from datetime import date
 from functools import reduce
 
@@ -9,11 +13,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaystone.functions import layout, text, vectors
+from quaystone.functions.hashing import row_hash
 from quaystone.operators import merge, quality, rollups
 from quaystone.operators.rollups import rate
-from quaystone.schema import DIM_DATE, DIM_RELATION, DIM_STATION, EXPORT, FACT
-from quaystone.session import table
-from quaystone.sources.scan import Scope, last_wins, read_table, violations
+from quaystone.operators.runlog import RunLog
+from quaystone.plans.guard import Policy, UnsafeQuery, capped, validate
+from quaystone.plans.lint import lint
+from quaystone.schema import DIM_DATE, DIM_RELATION, DIM_STATION, EXPORT, FACT, STAR
+from quaystone.session import cut, ensure_checkpoint_dir, read_text, table, write_text
+from quaystone.sources.scan import ScanError, Scope, check_columns, coverage_gate, is_partitioned, last_wins, read_blocks, read_manifest, read_table, violations, write_blocks
 
 JULY = Scope(date(2026, 7, 1), date(2026, 8, 1))
 #: Volume below which a key is not ranked.
@@ -108,10 +116,6 @@ def f8_positions_absent(spark, d):
     return kb.select("doc_id", "chunk_index").join(kept, ["doc_id", "chunk_index"], "left_anti")
 
 
-def _query_vector(spark, d):
-    return list(table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0])
-
-
 def _nearest_set(spark, d, k, **how):
     """Every vector whose id is divisible by 50 is a query, against all vectors."""
     e = table(spark, d, "embeddings")
@@ -119,22 +123,11 @@ def _nearest_set(spark, d, k, **how):
 
 
 def f9_excluded_before_limit(spark, d):
-    e = table(spark, d, "embeddings")
-    near = vectors.nearest(e, "embedding", _query_vector(spark, d), 10, ["vec_id"], exclude=F.col("label").isin(0, 1))
-    return near.select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
-
-
-def f10_floor_after_top(spark, d):
-    near = vectors.nearest(table(spark, d, "embeddings"), "embedding", _query_vector(spark, d), 20, ["vec_id"], floor=0.3)
-    return near.where("kept").select("vec_id", F.round("similarity", 6).alias("similarity"))
-
-
-def f9_excluded_before_limit_set(spark, d):
     near = _nearest_set(spark, d, 10, exclude=F.col("label").isin(0, 1), keep=["label"])
     return near.select("query_id", "vec_id", "label", F.round("similarity", 6).alias("similarity"))
 
 
-def f10_floor_after_top_set(spark, d):
+def f10_floor_after_top(spark, d):
     return _nearest_set(spark, d, 20, floor=0.3).where("kept").select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -192,23 +185,29 @@ def j10_constant_join(spark, d):
 
 
 def j11_cte_joined(spark, d):
-    return _views(spark, d).sql(
-        """WITH busy AS (SELECT station_key, SUM(stop_events) AS events FROM qs_fact WHERE date_key >= DATE '2026-07-01' AND date_key < DATE '2026-08-01' GROUP BY station_key HAVING SUM(stop_events) >= 50)
-        SELECT s.station_key, s.station_name, b.events FROM busy b JOIN qs_station s ON s.station_key = b.station_key"""
+    """Rows at least six minutes late, summed per relation in a common table expression, then per operator."""
+    v = _views(spark, d)
+    return spark.sql(
+        f"""WITH late AS (SELECT relation_key, COUNT(*) AS late_rows, MAX(delay_arr_s) AS worst FROM {v["fact_stop_event"]} WHERE delay_arr_s >= 360 GROUP BY relation_key)
+        SELECT r.operator, SUM(late.late_rows) AS late_rows, MAX(late.worst) AS worst FROM {v["dim_relation"]} r INNER JOIN late USING (relation_key) GROUP BY r.operator"""
     )
 
 
 def j12_subqueries(spark, d):
-    return _views(spark, d).sql(
-        """SELECT station_key, SUM(stop_events) AS events FROM qs_fact WHERE relation_key IN (SELECT relation_key FROM qs_relation WHERE operator = 'NVR')
-        AND date_key > (SELECT MIN(date_key) FROM qs_fact) GROUP BY station_key"""
+    v = _views(spark, d)
+    return spark.sql(
+        f"""SELECT station_key, SUM(stop_events) AS events FROM {v["fact_stop_event"]} WHERE relation_key IN (SELECT relation_key FROM {v["dim_relation"]} WHERE operator = 'NVR')
+        AND date_key > (SELECT MIN(date_key) FROM {v["fact_stop_event"]}) GROUP BY station_key"""
     )
 
 
 def _views(spark, d):
-    for name in ("fact", "station", "relation"):
-        table(spark, d, "fact_stop_event" if name == "fact" else f"dim_{name}").createOrReplaceTempView(f"qs_{name}")
-    return spark
+    """Names of views over the folder's tables; each folder has its own, so that runs over several do not meet."""
+    mark = hashlib.md5(d.encode()).hexdigest()[:12]
+    names = {t: f"qs_{mark}_{t}" for t in ("fact_stop_event", "dim_relation")}
+    for t, name in names.items():
+        table(spark, d, t).createOrReplaceTempView(name)
+    return names
 
 
 # --- data quality --------------------------------------------------------------------------------------------------------
@@ -286,6 +285,12 @@ def a7_rollup_difference(spark, d):
     return rollups.difference(_fact(spark, d), _agg(spark, d), "station_key")
 
 
+def a7_stale_rollup(spark, d):
+    """The rollup of the landed rows against that of the fact: days and stations whose sums differ, on either side."""
+    landed = merge.promote(_stg(spark, d).where("date_key IS NOT NULL AND station_key IS NOT NULL"))
+    return rollups.difference(landed, _agg(spark, d), "station_key")
+
+
 def a8_rollup_by_month(spark, d):
     return rollups.coarser(_agg(spark, d), [F.month("date_key").alias("month"), "station_key"])
 
@@ -318,8 +323,10 @@ def a16_rows_per_year(spark, d):
     return _fact(spark, d).groupBy(F.year("date_key").alias("year")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _requests(spark, d):
-    return _trace(spark, d).distinct()
+def _requests(spark, d, *columns):
+    """The columns asked for, of every request once: what was logged twice is equal in all columns, told by a hash of 128 bits."""
+    t = _trace(spark, d)
+    return t.select(*[h.alias(f"__qs_h{i}") for i, h in enumerate(row_hash(t, t.columns))], *columns).distinct()
 
 
 def _finite(c):
@@ -327,22 +334,22 @@ def _finite(c):
 
 
 def a17_percentiles(spark, d):
-    r = _requests(spark, d).where(_finite(F.col("total_ms"))).groupBy("route")
+    r = _requests(spark, d, "total_ms", "route").where(_finite(F.col("total_ms"))).groupBy("route")
     return r.agg(*[F.round(F.expr(f"percentile(total_ms, {p})"), 6).alias(f"p{int(p * 100)}") for p in TRACE_PROBS], F.count(F.lit(1)).alias("requests"))
 
 
 def a18_report(spark, d):
     ok = F.col("error_class").isNull()
-    return _requests(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("requests"), F.sum(ok.cast("long")).alias("succeeded"), (F.sum(ok.cast("long")).cast("double") / F.count(F.lit(1))).alias("success_rate"))
+    return _requests(spark, d, "kind", "error_class").groupBy("kind").agg(F.count(F.lit(1)).alias("requests"), F.sum(ok.cast("long")).alias("succeeded"), (F.sum(ok.cast("long")).cast("double") / F.count(F.lit(1))).alias("success_rate"))
 
 
 def a18_spans(spark, d):
-    s = _requests(spark, d).select(F.explode("spans").alias("s")).select("s.*").where(_finite(F.col("duration_ms")))
+    s = _requests(spark, d, "spans").select(F.explode("spans").alias("s")).select("s.*").where(_finite(F.col("duration_ms")))
     return s.groupBy("name").agg(*[F.round(F.expr(f"percentile(duration_ms, {p})"), 6).alias(f"p{int(p * 100)}") for p in TRACE_PROBS], F.count(F.lit(1)).alias("spans"))
 
 
 def a18_errors(spark, d):
-    return _requests(spark, d).where("error_class IS NOT NULL").groupBy("error_class", "error_span").agg(F.count(F.lit(1)).alias("requests"))
+    return _requests(spark, d, "error_class", "error_span").where("error_class IS NOT NULL").groupBy("error_class", "error_span").agg(F.count(F.lit(1)).alias("requests"))
 
 
 # --- rankings ------------------------------------------------------------------------------------------------------------
@@ -362,11 +369,6 @@ def l3_operators(spark, d):
 
 
 def l6_nearest(spark, d):
-    near = vectors.nearest(table(spark, d, "embeddings"), "embedding", _query_vector(spark, d), 5, ["vec_id"])
-    return near.select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
-
-
-def l6_nearest_set(spark, d):
     return _nearest_set(spark, d, 5, keep=["label"]).select("query_id", "vec_id", "label", F.round("similarity", 6).alias("similarity"))
 
 
@@ -378,12 +380,6 @@ def l8_pending_chunks(spark, d):
 
 
 def u1_union(spark, d):
-    a = _fact(spark, d).where("date_key < DATE '2026-06-05'").select("station_key")
-    b = _stg(spark, d).where("date_key >= DATE '2026-08-25'").select("station_key")
-    return a.union(b).distinct()
-
-
-def u1_union_whole(spark, d):
     return _fact(spark, d).select("station_key").union(_stg(spark, d).select("station_key")).distinct()
 
 
@@ -394,12 +390,6 @@ def u1_union_all(spark, d):
 
 
 def u2_multiset_difference(spark, d):
-    a = _fact(spark, d).select("station_key", "planned_hour").where("planned_hour < 6")
-    b = _stg(spark, d).select("station_key", "planned_hour").where("planned_hour < 6")
-    return b.exceptAll(a).groupBy("station_key", "planned_hour").agg(F.count(F.lit(1)).alias("rows"))
-
-
-def u2_multiset_difference_whole(spark, d):
     a, b = _fact(spark, d).select("station_key", "planned_hour"), _stg(spark, d).select("station_key", "planned_hour")
     return b.exceptAll(a).groupBy("station_key", "planned_hour").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -435,12 +425,6 @@ def w3_promote(spark, d):
     return rows.groupBy("date_key", "measured_arrivals").agg(F.count(F.lit(1)).alias("rows"), F.sum("punctual_arrivals").alias("punctual"))
 
 
-def w5_sync(spark, d):
-    kb = _kb(spark, d).select("doc_id", "chunk_index", "content_hash")
-    stored = kb.where("chunk_index % 7 <> 0").withColumn("content_hash", F.when(F.col("chunk_index") % 5 == 0, F.lit("stale")).otherwise(F.col("content_hash")))
-    return merge.sync(stored, kb.where("chunk_index % 4 <> 0")).groupBy("outcome").agg(F.count(F.lit(1)).alias("positions"))
-
-
 def sync_sides(kb):
     """A store and its corpus, each with every row of ``kb``: the corpus hashed anew; the store as it stood, every fifth hash stale, and
     a quarter of the documents a section further down, so that their first position is new and their last is gone."""
@@ -450,7 +434,7 @@ def sync_sides(kb):
     return kb.select("doc_id", (F.col("chunk_index") + moved).alias("chunk_index"), hashed.alias("content_hash")), corpus
 
 
-def w5_sync_whole(spark, d):
+def w5_sync(spark, d):
     return merge.sync(*sync_sides(_kb(spark, d))).groupBy("outcome").agg(F.count(F.lit(1)).alias("positions"))
 
 
@@ -483,17 +467,11 @@ def t5_content_hash(spark, d):
 
 
 def t7_flat_headings(spark, d):
-    flat = text.line_shape(F.col("heading"))
+    flat = text.folded(F.col("heading"))
     return _kb(spark, d).where("heading IS NOT NULL").groupBy(flat.alias("shape")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def t8_redact(spark, d):
-    docs = table(spark, d, "documents")
-    line = F.concat(F.lit("postgres://svc:"), F.md5(F.col("doc_id").cast("string")), F.lit("@db/x token="), F.sha1(F.col("doc_id").cast("string")), F.lit("; api_key: 'k"), F.col("doc_id").cast("string"), F.lit("'"))
-    return docs.select("doc_id", text.redact(line).alias("line"))
-
-
-def t8_redact_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", text.redact(F.col("text")).alias("text"))
 
 
@@ -524,13 +502,6 @@ def d4_running_lines(spark, d):
 
 
 def v3_two_rankings(spark, d):
-    e, q = table(spark, d, "embeddings"), _query_vector(spark, d)
-    every = vectors.nearest(e, "embedding", q, 5, ["vec_id"]).select(F.lit("all").alias("scope"), "vec_id")
-    inner = vectors.nearest(e, "embedding", q, 5, ["vec_id"], exclude=F.col("label") != 2).select(F.lit("label 2").alias("scope"), "vec_id")
-    return every.unionByName(inner)
-
-
-def v3_two_rankings_set(spark, d):
     every = _nearest_set(spark, d, 5).select("query_id", F.lit("all").alias("scope"), "vec_id")
     inner = _nearest_set(spark, d, 5, exclude=F.col("label") != 2).select("query_id", F.lit("label 2").alias("scope"), "vec_id")
     return every.unionByName(inner)
@@ -546,34 +517,196 @@ def v5_pending(spark, d):
 
 
 def c10_floor_shown(spark, d):
-    near = vectors.nearest(table(spark, d, "embeddings"), "embedding", _query_vector(spark, d), 12, ["vec_id"], floor=0.35)
-    return near.select("vec_id", F.round("similarity", 6).alias("similarity"), "kept")
-
-
-def c10_floor_shown_set(spark, d):
     return _nearest_set(spark, d, 12, floor=0.35).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "kept")
 
 
 # --- evaluation ----------------------------------------------------------------------------------------------------------
 
 
+#: Places of a ranking that count for the reciprocal rank.
+RANKED = 10
+
+
 def e3_hits(spark, d):
-    """hit@4 and reciprocal rank per label: is a vector of the same label among the nearest to the label's first vector?"""
+    """hit@4 and reciprocal rank of every vector whose id is divisible by 50: is a vector of its own label among the nearest others?"""
     e = table(spark, d, "embeddings")
-    first = e.groupBy("label").agg(F.min("vec_id").alias("query_id"))
-    queries = first.join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").withColumnRenamed("label", "wanted")
-    # One query per label against all rows; the queries are a bounded list.
-    scored = e.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).select("wanted", "vec_id", "label", vectors.cosine(F.col("embedding"), F.col("q")).alias("s"))
-    keyed = scored.groupBy("wanted").agg(F.max(F.when(F.col("label") == F.col("wanted"), F.struct("s", (-F.col("vec_id")).alias("v")))).alias("best"))
-    above = scored.join(F.broadcast(keyed), "wanted").where(F.struct("s", (-F.col("vec_id")).alias("v")) > F.col("best")).groupBy("wanted").agg(F.count(F.lit(1)).alias("ahead"))
-    ranked = keyed.join(above, "wanted", "left").withColumn("rank", F.coalesce("ahead", F.lit(0)) + 1)
-    return ranked.select(F.col("wanted").alias("label"), (F.col("rank") <= 4).alias("hit"), (F.lit(1.0) / F.col("rank")).alias("reciprocal_rank"))
+    near = _nearest_set(spark, d, RANKED + 1, keep=["label"]).where("vec_id <> query_id")
+    own = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
+    ranked = near.withColumn("place", place).where(F.col("place") <= RANKED).join(own, "query_id")
+    first = ranked.groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("wanted"), F.col("place"))).alias("place"))
+    return first.select("query_id", F.coalesce(F.col("place") <= 4, F.lit(False)).alias("hit"), F.coalesce(F.lit(1.0) / F.col("place"), F.lit(0.0)).alias("reciprocal_rank"))
 
 
 def e8_report(spark, d):
     return e3_hits(spark, d).agg(F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit_rate"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), F.count(F.lit(1)).alias("cases"))
 
 
-QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[0] in "sfjqaluwctdve" and n[1:2].isdigit()}
+def e1_compared(spark, d):
+    """The two rankings of a3 against each other and themselves, as tables that are compared."""
+    from quaystone.evaluation.compare import Spec, compare
+
+    worst, best = ([tuple(r) for r in f(spark, d).collect()] for f in (a3_worst_stations, a3_best_stations))
+    turned = [(round(rate * 100, 1) if rate is not None else None, name, "more") for name, rate in reversed(worst)]
+    cases = {
+        "itself": (worst, worst, Spec("ordered")), "as_set_in_percent": (worst, turned, Spec("set", accept_percent=True)), "as_set_without_percent": (worst, turned, Spec("set")),
+        "in_another_order": (worst, turned, Spec("ordered", accept_percent=True)), "another_ranking": (worst[:3], best, Spec("set")), "first_row_only": (worst, worst[:1] + worst[:0:-1], Spec("ordered", top_k=1)),
+    }
+    return spark.createDataFrame([(n, compare(*c)[0]) for n, c in cases.items()], "case_name string, agrees boolean")
+
+
+# --- sources and sinks, written and read again -----------------------------------------------------------------------------
+
+
+def _folder(spark, name):
+    """A new folder in the shared place of the cluster."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4()}"
+
+
+def s5_partitioned_range(spark, d):
+    """The fact written as day folders, scanned by a range that prunes them, its key typed by the declaration."""
+    path = _folder(spark, "fact-by-day")
+    merge.publish(_fact(spark, d).select(*FACT.columns).repartition("date_key"), path, "date_key")
+    if not is_partitioned(spark, path):
+        raise ValueError("not laid out by day")
+    f = read_table(spark, path, FACT, JULY, ["date_key", "station_key", "stop_events"])
+    return f.groupBy("date_key").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("station_key").alias("stations"), F.sum("stop_events").alias("stop_events"))
+
+
+def s6_column_differences(spark, d):
+    """Columns that the landed batch has beside the fact's, and lacks."""
+    try:
+        check_columns(_stg(spark, d).columns, _fact(spark, d).columns, "batch")
+        found = []
+    except ScanError as e:
+        found = [(side, c) for side, text in re.findall(r"(missing|unexpected) columns \[(.*?)\]", str(e)) for c in re.findall(r"'(.*?)'", text)]
+    return spark.createDataFrame(found, "side string, column_name string")
+
+
+def _manifest_of(spark, d):
+    f = _fact(spark, d)
+    years = {str(r.year): r.n for r in f.groupBy(F.year("date_key").alias("year")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    ends = f.agg(F.min("date_key").alias("a"), F.max("date_key").alias("b")).first()
+    dims = {n: table(spark, d, n).count() for n in ("dim_date", "dim_station", "dim_relation")}
+    return {"contract_version": 2, "exported_at": "2026-09-01T00:00:00Z", "fact_stop_event": {"min_date_key": str(ends.a), "max_date_key": str(ends.b), "total_rows": sum(years.values()), "rows_per_year": years}, "dimensions": dims}
+
+
+def s12_manifest(spark, d):
+    """A manifest of the tables, written to the shared folder and read again."""
+    path = f"{_folder(spark, 'manifest')}/manifest.json"
+    write_text(spark, path, json.dumps(_manifest_of(spark, d)))
+    m = read_manifest(read_text(spark, path))
+    return spark.createDataFrame([("fact_stop_event", m.total_rows, m.first, m.last), *[(n, c, None, None) for n, c in m.dimensions.items()]], "table_name string, rows long, first_day date, last_day date")
+
+
+def s13_blocks(spark, d):
+    """Sections as a stream of blocks, one JSON line each, written and read again."""
+    path = _folder(spark, "blocks")
+    kb = _kb(spark, d)
+    heads = kb.where("heading <> ''").select(F.lit("heading").alias("kind"), F.lit(None).cast("string").alias("section"), F.col("heading").alias("text"), F.lit(1).alias("level"))
+    bodies = kb.where("content IS NOT NULL").select(F.lit("paragraph").alias("kind"), F.col("heading").alias("section"), F.col("content").alias("text"), F.lit(None).cast("int").alias("level"))
+    write_blocks(heads.unionByName(bodies), path)
+    b = read_blocks(spark, path)
+    return b.groupBy("kind").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).alias("chars"), F.count("section").alias("in_section"), F.count("error").alias("errors"))
+
+
+def q7_policies(spark, d):
+    """Rows that a load of the batch publishes and rejects: nothing under ``fail``, the valid ones under ``skip``."""
+    flags, out = cut(_flags(spark, d)), []
+    for policy in ("fail", "skip"):
+        fact, bad = merge.load_fact(flags, None, Scope(), policy)
+        out.append((policy, fact.count() if fact is not None else 0, bad.count()))
+    return spark.createDataFrame(out, "policy string, published long, rejected long")
+
+
+def q11_gate(spark, d):
+    """What the gate says to a whole load, one that lost a row, a range and a range with a row lost, and a range beyond the export."""
+    m = read_manifest(json.dumps(_manifest_of(spark, d)))
+    july = _july(_fact(spark, d)).count()
+    loads = {"whole": (m.total_rows, m.total_rows, Scope()), "whole_short": (m.total_rows - 1, m.total_rows, Scope()), "range": (july, july, JULY), "range_short": (july - 1, july, JULY), "outside": (0, 0, Scope(date(2020, 1, 1), date(2020, 2, 1)))}
+    return spark.createDataFrame([(n, not coverage_gate(m, *a)) for n, a in loads.items()], "load string, admitted boolean")
+
+
+def w3_promote_last_landed(spark, d):
+    """Every grain once, as it landed last."""
+    keyed = _stg(spark, d).where(~quality.any_null())
+    rows = merge.promote(keyed, order=["loaded_at", "stg_id"])
+    return rows.groupBy("date_key", "measured_arrivals").agg(F.count(F.lit(1)).alias("rows"), F.sum("stop_events").alias("stop_events"), F.sum("delay_arr_s").alias("delay_sum"))
+
+
+def w4_run_log(spark, d):
+    """Three runs as the log tells them afterwards."""
+    log = RunLog(spark, _folder(spark, "runs"))
+    done, failed, _ = (log.start(n) for n in ("a", "b", "c"))
+    log.finish(done, _stg(spark, d).count(), 0)
+    log.fail(failed, "e" * 5000)
+    return log.latest().select("from_source", "status", "rows_loaded", F.length("error").alias("error_chars"))
+
+
+def t1_sections(spark, d):
+    """Sections of the documents at their Markdown headings."""
+    cut_ = text.sections(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return cut_.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sections"), F.count("heading").alias("headed"), F.sum(F.length("body")).alias("chars"))
+
+
+def t2_packed(spark, d):
+    """Pieces of every section of the knowledge documents."""
+    kb = _kb(spark, d).select("doc_id", "chunk_index", F.posexplode(text.packed(F.col("content"), 600)).alias("piece_no", "piece"))
+    return kb.select("doc_id", "chunk_index", "piece_no", F.md5("piece").alias("piece_md5"))
+
+
+def d5_lost_characters(spark, d):
+    """Characters that the contents of a knowledge document hold less often than headings and contents together."""
+    kb = _kb(spark, d)
+    source = kb.select("doc_id", F.concat_ws(" ", "heading", "content").alias("t"))
+    return layout.lost_characters(source, kb.select("doc_id", F.coalesce("content", F.lit("")).alias("t")), ["doc_id"], "t")
+
+
+def g1_guard(spark, d):
+    """Statements and whether the guard admits them."""
+    policy = Policy(frozenset({"gold.dim_date"}))
+    out = []
+    for statement in GUARDED:
+        try:
+            validate(spark, statement, policy)
+            out.append((statement, True))
+        except UnsafeQuery:
+            out.append((statement, False))
+    return spark.createDataFrame(out, "statement string, admitted boolean")
+
+
+#: Plain statements, so that the guard can be held against their listing in the SQL.
+GUARDED = (
+    "SELECT 1 AS one", "SELECT year FROM dim_date", "SELECT max(year) FROM gold.dim_date", "SELECT year FROM gold.dim_date UNION SELECT month FROM gold.dim_date", "SELECT key FROM vault", "DELETE FROM gold.dim_date", "SELECT year FROM gold.dim_date; SELECT 2",
+    "SHOW DATABASES", "SELECT java_method(year) FROM gold.dim_date", "SELECT year FROM gold.dim_date EXCEPT SELECT month FROM gold.dim_date",
+)
+
+
+def g8_lint(spark, d):
+    """Conditions on a fact and whether its partition key is bounded by constants."""
+    tables = {t.name: (t.partitioned_by or "", frozenset(t.columns)) for t in STAR.values()}
+    out = [(c, bool(lint(spark, f"SELECT count(*) FROM gold.fact_stop_event f WHERE {c}", tables))) for c in LINTED]
+    return spark.createDataFrame(out, "condition string, flagged boolean")
+
+
+LINTED = (
+    "f.train_no > 5", "f.date_key = DATE '2026-06-02'", "f.date_key >= DATE '2026-06-02' AND f.train_no > 5", "f.date_key >= DATE '2026-06-02' OR f.train_no > 5", "f.date_key IN (DATE '2026-06-02', DATE '2026-06-09')",
+    "f.date_key = f.loaded_at", "f.date_key < (SELECT max(date_key) FROM gold.dim_date)", "month(f.date_key) = 6",
+)
+
+
+def l4_row_cap(spark, d):
+    """Rows of a ranking under caps, with the query's own limit and without."""
+    name = _views(spark, d)["dim_relation"]
+    policy = Policy(frozenset({f"gold.{name}"}), max_rows=20)
+    out = []
+    for limit in ("", "LIMIT 7", "LIMIT 1000"):
+        q = validate(spark, f"SELECT relation_key FROM {name} ORDER BY relation_key {limit}", policy)
+        out.append((limit, capped(spark, q).count()))
+    return spark.createDataFrame(out, "own_limit string, rows long")
+
+
+QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[0] in "sfjqaluwctdveg" and n[1:2].isdigit()}
 
 __all__ = ["QUERIES", "SparkSession", "Window"]

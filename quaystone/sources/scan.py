@@ -132,6 +132,13 @@ def read_manifest(text: str) -> Manifest:
     return out
 
 
+def dimension_gate(manifest: Manifest, name: str, rows: int) -> list[str]:
+    """What keeps a dimension from being published: a count that the manifest does not declare, or declares otherwise."""
+    if name not in manifest.dimensions:
+        return [f"{name}: {rows} rows that the manifest does not declare"]
+    return [] if manifest.dimensions[name] == rows else [f"{name}: {rows} rows, the manifest has {manifest.dimensions[name]}"]
+
+
 def coverage_gate(manifest: Manifest, loaded: int, on_disk: int, scope: Scope = Scope()) -> list[str]:
     """What keeps a load from being published; empty if nothing does. Run before publishing."""
     if scope == Scope():

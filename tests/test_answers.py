@@ -1,5 +1,5 @@
 import json
-from datetime import date
+from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
@@ -7,7 +7,7 @@ import pytest
 from quaystone.context.pipeline import AnswerPipeline, Canned, StaleRollup, Unanswered
 from quaystone.context.prompts import coverage, extract_sql
 from quaystone.evaluation.compare import Spec, cells_agree, compare, hit_at, reciprocal_rank
-from quaystone.evaluation.runner import Case, ReplyCache, Reply, judge, markdown, report, run
+from quaystone.evaluation.runner import Case, DayBudget, ExpectedResults, Reply, ReplyCache, calls_needed, judge, markdown, report, run
 from quaystone.functions.vectors import SeededEmbedder
 from quaystone.plans.guard import Policy
 from quaystone.streaming.incremental import append_partials, current, fact_stream
@@ -66,7 +66,13 @@ def test_runner(tmp_path):
     again = run(cases, lambda q: 1 / 0, lambda sql: [], out)
     assert [r["passed"] for r in again] == [True, True, True, True, False]
     summary = report(results)
-    assert summary["sql"] == {"passed": 1, "of": 1} and summary["mrr"] == 0.5 and summary["median_ms"] == {"execute": 4.0} and "| sql | 1 | 1 |" in markdown(summary)
+    assert summary["sql"] == {"passed": 1, "of": 1} and summary["mrr"] == 0.5 and summary["spans_ms"] == {"execute": {"n": 1, "p50": 4.0, "p95": 4.0}} and not summary["incomplete"] and "| sql | 1 | 1 |" in markdown(summary)
+    assert report(results, ["a", "z"])["incomplete"] and "incomplete" in markdown(report(results, ["z"]))
+    traced = [{**results[0], "trace": {"findings": f, "partitions": {"t": n}, "spans": [{"name": "execute", "duration_ms": ms, "provider_calls": [{"prompt": 5, "retries": 1}]}]}} for f, n, ms in ((["x"], 3, 1.0), ([], 1, 2.0), ([], 2, 10.0))]
+    whole = report(traced)
+    assert whole["lint"] == {"passed": 2, "of": 3} and whole["partitions"] == 2 and whole["tokens"]["prompt"] == 15 and whole["retries"] == 3
+    assert whole["spans_ms"]["execute"] == {"n": 3, "p50": 2.0, "p95": 9.2} and "| execute | 3 | 2.0 | 9.2 |" in markdown(whole)
+    assert calls_needed(cases, ["a"]) == 1 + 3 + 3 + 3 and calls_needed(cases, [c.id for c in cases]) == 0 and calls_needed(cases[:1], [], lambda q: True) == 4
     assert not judge(cases[0], Reply("data", refused="x"), [(1,)])[0]
     with pytest.raises(ValueError):
         Case("x", "q", sql="S", behaviour="refused")
@@ -74,13 +80,28 @@ def test_runner(tmp_path):
 
 def test_reply_cache(tmp_path):
     waits = []
-    cache = ReplyCache(str(tmp_path / "c.json"), str.upper, per_minute=4, per_day=2, clock=lambda: 0.0, sleep=waits.append)
+    cache = ReplyCache(str(tmp_path / "c.json"), str.upper, per_minute=4, budget=DayBudget(str(tmp_path / "b.json"), 2), clock=lambda: 0.0, sleep=waits.append)
     assert [cache("a"), cache("a"), cache("b")] == ["A", "A", "B"] and waits == [15.0] and cache.hits == 1
     with pytest.raises(RuntimeError):
         cache("c")
+    # The budget outlives the run, and ends with the day.
+    day = [datetime(2026, 3, 1, 23, 59)]
+    budget = DayBudget(str(tmp_path / "d.json"), 1, lambda: day[0])
+    budget.spend()
+    assert budget.left() == DayBudget(str(tmp_path / "d.json"), 1, lambda: day[0]).left() == 0
+    day[0] = datetime(2026, 3, 2, 0, 1)
+    assert budget.left() == 1
     assert ReplyCache(str(tmp_path / "c.json"), lambda p: 1 / 0)("b") == "B"
 
 
+def test_expected_results_are_whole_or_refused(spark, tmp_path):
+    path = str(tmp_path / "held.json")
+    assert len(ExpectedResults(spark, path, "s").of("SELECT id FROM range(12000)")) == 12000
+    assert ExpectedResults(spark, path, "s").of("SELECT id FROM range(12000)")[-1] == (11999,)
+    with pytest.raises(ValueError, match="more than 5 rows"):
+        ExpectedResults(spark, path, "s", most_rows=5).of("SELECT id FROM range(6)")
+
+
 @pytest.fixture(scope="module")
 def lake(spark, sf):
     spark.sql("CREATE DATABASE IF NOT EXISTS lake")

@@ -15,17 +15,41 @@ def test_load_finalize_query(spark, sf, tmp_path, capsys):
     fact = spark.read.parquet(f"{sf}/fact_stop_event.parquet").select(*schema.EXPORT.columns)
     fact.write.partitionBy("date_key").parquet(str(export / "fact_stop_event"))
 
+    days = fact.agg(F.min("date_key").alias("a"), F.max("date_key").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    years = {str(r.y): r.n for r in fact.groupBy(F.year("date_key").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    manifest = {"contract_version": 2, "exported_at": "2026-09-01T00:00:00Z", "fact_stop_event": {"min_date_key": str(days.a), "max_date_key": str(days.b), "total_rows": days.n, "rows_per_year": years}, "dimensions": {"dim_date": 10227, "dim_station": 4001, "dim_relation": 300}}
+
+    def tell(**dimensions):
+        (export / "manifest.json").write_text(json.dumps({**manifest, "dimensions": {**manifest["dimensions"], **dimensions}}))
+
     def run(*args):
         code = main([*args[:1], "--lake", lake, *args[1:]], spark)
         out = capsys.readouterr()
         return code, json.loads(out.out) if code == 0 else out.err
 
+    assert "no manifest" in run("load-dims", "--export", str(export))[1]
+    tell(dim_station=4000)
+    assert "the manifest has 4000" in run("load-dims", "--export", str(export))[1]
+    tell()
     assert run("load-dims", "--export", str(export))[1]["dim_station"] == {"inserted": 4001}
     assert run("load-dims", "--export", str(export))[1]["dim_station"] == {"updated": 4001}
     span = ("--from", "2026-07-01", "--to", "2026-07-08")
     wanted = fact.where("date_key >= DATE '2026-07-01' AND date_key < DATE '2026-07-08'").count()
     assert run("load-fact", "--export", str(export), *span) == (0, {"loaded": wanted, "rejected": 0})
     assert run("load-fact", "--export", str(export), *span) == (0, {"loaded": wanted, "rejected": 0})
+    # A row that breaks a rule is left out, and then the range is not whole: nothing is published.
+    spoilt = str(tmp_path / "spoilt")
+    scope = fact.where("date_key >= DATE '2026-07-01' AND date_key < DATE '2026-07-08'")
+    scope.withColumn("station_key", F.when(F.col("train_no") == scope.first().train_no, F.lit(99_999_999)).otherwise(F.col("station_key"))).write.partitionBy("date_key").parquet(f"{spoilt}/fact_stop_event")
+    (tmp_path / "spoilt" / "manifest.json").write_text(json.dumps(manifest))
+    code, err = run("load-fact", "--export", spoilt, *span, "--on-violation", "skip")
+    assert code == 1 and f"{wanted} on disk in range" in err
+    code, got = run("load-fact", "--export", spoilt, *span, "--on-violation", "skip", "--no-manifest")
+    assert code == 1 or got["rejected"] > 0
+    (tmp_path / "spoilt" / "manifest.json").unlink()
+    code, got = run("load-fact", "--export", spoilt, *span, "--on-violation", "skip", "--no-manifest")
+    assert code == 0 and got["rejected"] > 0 and got["loaded"] + got["rejected"] == wanted
+    assert run("load-fact", "--export", str(export), *span) == (0, {"loaded": wanted, "rejected": 0})
     code, err = run("load-fact", "--export", str(export / "none"))
     assert code == 1 and "ScanError" in err
     assert run("finalize")[0] == 0
@@ -54,11 +78,21 @@ def test_load_finalize_query(spark, sf, tmp_path, capsys):
     assert got["sql"] == {"passed": 1, "of": 1}
     assert run("ping")[1]["fact_stop_event"] is True and run("drop")[0] == 1
     runs = spark.read.parquet(f"{lake}/ops/load_runs").groupBy("status").count().collect()
-    assert {r.status: r["count"] for r in runs} == {"running": 3, "succeeded": 2, "failed": 1}
+    assert {r.status: r["count"] for r in runs} == {"running": 7, "succeeded": 4, "failed": 3}
     assert run("drop", "--yes")[0] == 0 and run("ping")[1]["fact_stop_event"] is False
     spark.sql("DROP DATABASE gold CASCADE")
 
 
+def test_empty_lake(spark, tmp_path, capsys):
+    lake = str(tmp_path / "empty")
+    assert main(["db-init", "--lake", lake], spark) == 0
+    assert set(json.loads(capsys.readouterr().out)["made"]) == set(schema.STAR)
+    assert main(["db-init", "--lake", lake], spark) == 0 and json.loads(capsys.readouterr().out)["made"] == []
+    spark.sql("DROP DATABASE gold CASCADE")
+    assert main(["kb-init", "--lake", lake, "--dimensions", "4"], spark) == 0 and json.loads(capsys.readouterr().out) == {"made": True}
+    assert main(["kb-drop", "--lake", lake], spark) == 1 and main(["kb-drop", "--lake", lake, "--yes"], spark) == 0
+
+
 def test_knowledge_base(spark, tmp_path, capsys):
     lake, corpus = str(tmp_path / "lake"), tmp_path / "md"
     corpus.mkdir()

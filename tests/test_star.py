@@ -78,6 +78,8 @@ def test_manifest():
     assert m.total_rows == 5 and scan.coverage_gate(m, 5, 5) == [] and scan.coverage_gate(m, 4, 5)
     assert scan.coverage_gate(m, 2, 2, Scope(date(2026, 6, 1), date(2026, 6, 3))) == []
     assert scan.coverage_gate(m, 2, 3, Scope(date(2026, 1, 1), date(2026, 6, 3))) != []
+    assert scan.coverage_gate(m, 1, 2, Scope(date(2026, 6, 1), date(2026, 6, 3))) != [] and scan.coverage_gate(m, 2, 2, Scope(end=date(2026, 8, 30))) == [] and scan.coverage_gate(m, 2, 2, Scope(end=date(2026, 8, 31))) != []
+    assert scan.dimension_gate(m, "dim_date", 3) == [] and scan.dimension_gate(m, "dim_date", 2) and scan.dimension_gate(m, "dim_other", 0)
     for bad in ("{", "[]", GOOD.replace('"contract_version": 2', '"contract_version": 1'), GOOD.replace('"2026": 5', '"2026": 4'), GOOD.replace("2026-06-01", "2027-06-01"), GOOD.replace('"dimensions"', '"other"')):
         with pytest.raises(ScanError):
             scan.read_manifest(bad)
@@ -136,14 +138,20 @@ def test_text_functions(spark):
     assert df.select(text.redact(F.col("t"))).first()[0] == "postgres://u:***@h/db password=***, token: '***' api-key=\"***\" plain"
     doc = spark.createDataFrame([("d", "intro\n# One #\nbody a\n\nbody b\n## Two\n\n" + "x" * 40)], "doc_id string, text string")
     assert [(r.heading, r.body) for r in text.sections(doc, "doc_id", "text").collect()] == [(None, "intro"), ("One #", "body a\n\nbody b"), ("Two", "x" * 40)]
-    one = spark.createDataFrame([(["a" * 5, "b" * 5, "c" * 30, "d"],)], "p array<string>")
-    assert one.select(text.packed(F.col("p"), 12)).first()[0] == ["aaaaa\n\nbbbbb", "c" * 12, "c" * 12, "c" * 6 + "\n\nd"]
+    bodies = ["\n\n".join(["a" * 5, "b" * 5, "c" * 30, "d"]), " short \n\n as it is", "x" * 12, "x" * 13, "a\n \n\nb\n\n" + "c" * 11, "", "a" * 11 + "\n\n\n\n" + "b" * 4]
+    got = [r[0] for r in spark.createDataFrame([(b,) for b in bodies], "b string").select(text.packed(F.col("b"), 12)).collect()]
+    # What is left of a paragraph that was cut hard stands alone; a body that fits stays as it is.
+    assert got == [["aaaaa\n\nbbbbb", "c" * 12, "c" * 12, "c" * 6, "d"], [" short ", " as it is"], ["x" * 12], ["x" * 12, "x"], ["a\n\nb", "c" * 11], [""], ["a" * 11, "b" * 4]]
+    fits = spark.createDataFrame([(" a \n \n\n b ",)], "b string")
+    assert fits.select(text.packed(F.col("b"), 12)).first()[0] == [" a \n \n\n b "]
     out = text.chunks(doc, "doc_id", "text", 20, 8).orderBy("chunk_index").collect()
     assert [r.content for r in out] == ["intro", "body a\n\nbody b", "x" * 20, "x" * 20] and out[1].heading == "One #"
     short = spark.createDataFrame([("d", 0, "ab"), ("d", 1, "long enough"), ("d", 2, "cd"), ("d", 3, "")], "doc string, i int, t string")
     assert sorted((r.i, r.t) for r in text.merge_short(short, "doc", "i", "t", 5).collect()) == [(0, "ab"), (1, "long enough\n\ncd\n\n")]
-    q = spark.createDataFrame([("How many trains in 2026?",), ("What does punctual mean",), ("hello",)], "t string")
-    assert [r[0] for r in q.select(text.route(F.col("t"))).collect()] == ["data", "conceptual", None]
+    q = spark.createDataFrame([("How many trains in 2026?",), ("What does punctual mean",), ("hello",), ("Explain how many trains were counted in total in 2026",), ("what does it mean in 1999",)], "t string")
+    assert [r[0] for r in q.select(text.route(F.col("t"))).collect()] == ["data", "conceptual", None, None, None]
+    lines = spark.createDataFrame([("Page\u00a0 3\tof ١٢",), ("PAGE 4 of 9",)], "t string")
+    assert [r[0] for r in lines.select(text.line_shape(F.col("t"))).collect()] == ["Page # of #", "PAGE # of #"]
 
 
 def test_glossary(spark):
@@ -159,16 +167,15 @@ def test_vectors(spark):
     assert [(r.id, r.kept) for r in got] == [(1, True), (4, True), (2, False)]
     assert vectors.widths(df, "v", 2).first().fits
     a, b = vectors.SeededEmbedder(8).embed(["x", "x"])
-    assert a == b and abs(sum(x * x for x in a) - 1) < 1e-9
+    (c,) = vectors.SeededEmbedder(8, "another").embed(["x"])
+    assert a == b != c and abs(sum(x * x for x in a) - 1) < 1e-9
 
 
 def test_layout(spark):
     df = spark.createDataFrame([("p", 1.0), ("p", 1.5), ("p", 9.0), ("q", 4.0)], "page string, x double")
     assert sorted((r.page, r.centre, r.members) for r in layout.clusters(df, ["page"], "x", 1.0).collect()) == [("p", 1.25, 2), ("p", 9.0, 1), ("q", 4.0, 1)]
-    rules = spark.createDataFrame([("d", 1, 10.0), ("d", 2, 10.4), ("d", 3, 50.0), ("d", 4, 10.2)], "doc string, page int, x double")
-    assert [r.votes for r in layout.column_edges(rules, "doc", "page", "x").collect()] == [3]
     lines = spark.createDataFrame([("d", p, t) for p in range(1, 6) for t in (f"Page {p}", f"body {chr(96 + p) * p}")], "doc string, page int, t string")
-    assert [r["shape"] for r in layout.running_lines(lines, "doc", "page", "t").collect()] == ["page #"]
+    assert [r["shape"] for r in layout.running_lines(lines, "doc", "page", "t").collect()] == ["Page #"]
     one = spark.createDataFrame([(1, "ab b")], "p int, t string")
     two = spark.createDataFrame([(1, "ab"), (1, "c")], "p int, t string")
     assert sorted((r.char, r.lost) for r in layout.lost_characters(one, two, ["p"], "t").collect()) == [("b", 1), ("c", -1)]
@@ -176,6 +183,26 @@ def test_layout(spark):
     assert cell == 1
 
 
+def test_ruled_grid(spark):
+    # Three pages of one section. Marks under two columns at three heights on two pages, an underline, a thick panel, a bullet.
+    drawn = [("d", p, x0 + shift, x1 + shift, y, y + 1) for p, shift in ((1, 0.0), (2, 0.4)) for y in (100.0, 140.0, 180.0) for x0, x1 in ((50.0, 150.0), (150.0, 300.0))]
+    drawn += [("d", 1, 70.0, 130.0, 120.0, 121.0), ("d", 2, 50.0, 300.0, 200.0, 260.0), ("d", 2, 50.0, 60.0, 220.0, 220.5), ("d", 3, 70.0, 130.0, 500.0, 500.0)]
+    shapes = spark.createDataFrame(drawn, "doc string, page int, x0 double, x1 double, top double, bottom double")
+    pages = spark.createDataFrame([("d", 1), ("d", 2), ("d", 3), ("e", 1)], "doc string, page int")
+    rules = layout.page_rules(shapes, "doc", "page")
+    assert rules.count() == 14  # the panel and the bullet are no edges
+    columns = layout.column_edges(rules, pages, "doc", "page")
+    got = {r.doc: r.edges for r in columns.collect()}
+    assert set(got) == {"d"} and [round(e, 2) for e in got["d"]] == [50.2, 150.2, 300.2]
+    rows = {r.page: r.rows for r in layout.row_edges(rules, columns, "doc", "page").collect()}
+    assert rows == {1: [100.5, 140.5, 180.5], 2: [100.5, 140.5, 180.5]}  # the underline ends at no column, page 3 has no table
+    # Marks drawn at one height only make no column, however many pages have them.
+    once = spark.createDataFrame([("d", p, 50.0, 150.0, 10.0, 10.0) for p in (1, 2, 3)], shapes.schema)
+    assert layout.column_edges(layout.page_rules(once, "doc", "page"), pages, "doc", "page").count() == 0
+    one = spark.createDataFrame([([5.0, 1.0, 2.5, 4.4, 9.0],)], "x array<double>").select(layout.centres(F.col("x"))).first()[0]
+    assert one == [(1.0 + 2.5 + 4.4 + 5.0) / 4, 9.0]
+
+
 def test_last_wins(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("b", 1, "y")], "id string, n int, v string")
     assert sorted(map(tuple, scan.last_wins(df, ["id"], ["n"]).collect())) == [("a", 2, None), ("b", 1, "y")]

@@ -17,25 +17,25 @@ def test_sync_holds_every_position(spark, sf):
     stored, corpus = star.sync_sides(kb)
     assert stored.count() == corpus.count() == len(positions)
     assert {tuple(r)[:2] for r in corpus.collect()} == positions
-    got = {r.outcome: r.positions for r in star.w5_sync_whole(spark, sf).collect()}
+    got = {r.outcome: r.positions for r in star.w5_sync(spark, sf).collect()}
     assert set(got) == {"inserted", "updated", "unchanged", "deleted"} and sum(got.values()) - got["deleted"] == len(positions)
 
 
 def test_set_operations_hold_every_row(spark, sf):
     fact, stg = table(spark, sf, "fact_stop_event"), table(spark, sf, "stg_fact_stop_event")
     stations = {r[0] for x in (fact, stg) for r in x.select("station_key").collect()}
-    got = [r.station_key for r in star.u1_union_whole(spark, sf).collect()]
+    got = [r.station_key for r in star.u1_union(spark, sf).collect()]
     assert len(got) == len(stations) and set(got) == stations
     pairs = [Counter(map(tuple, x.select("station_key", "planned_hour").collect())) for x in (stg, fact)]
     want = pairs[0] - pairs[1]
-    assert {tuple(r)[:2]: r.rows for r in star.u2_multiset_difference_whole(spark, sf).collect()} == want
+    assert {tuple(r)[:2]: r.rows for r in star.u2_multiset_difference(spark, sf).collect()} == want
     assert any(hour is None or hour >= 6 for _, hour in want)
 
 
 def test_search_answers_every_query(spark, sf):
     asked = {r.vec_id for r in table(spark, sf, "embeddings").where("vec_id % 50 = 0").collect()}
     assert len(asked) > 1
-    got = Counter(r.query_id for r in star.l6_nearest_set(spark, sf).collect())
+    got = Counter(r.query_id for r in star.l6_nearest(spark, sf).collect())
     assert got == dict.fromkeys(asked, 5)
 
 
@@ -61,10 +61,10 @@ def test_redact_reads_the_texts(spark, tmp_path):
     long = "x " * 20_000
     texts = ["plain", long + "postgres://u:hidden@h/db and token = abc; " + long, "Token-ring, secret: 'x'\nhttp://a:b@c", "secretary: at 12:30 @ desk", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.text for r in star.t8_redact_texts(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.text for r in star.t8_redact(spark, str(tmp_path)).collect()}
     assert got == {0: "plain", 1: long + "postgres://u:***@h/db and token = ***; " + long, 2: "Token-ring, secret: '***'\nhttp://a:***@c", 3: "secretary: at 12:30 @ desk", 4: None}
     con = connect(str(tmp_path))
-    check(spark, con, str(tmp_path), star.t8_redact_texts, star_sql.SQL["t8_redact_texts"])
+    check(spark, con, str(tmp_path), star.t8_redact, star_sql.SQL["t8_redact"])
 
 
 def test_profile_counts_rows_without_a_day(spark, sf, tmp_path):
