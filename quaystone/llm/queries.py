@@ -130,6 +130,22 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+def p9_verbatim(spark: SparkSession, d: str) -> DataFrame:
+    """Of the pairs found, those in which 20 words of the item stand in the text word by word as they are, but for case and what parts them."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "eval_item")
+
+    def runs(text: str) -> Column:
+        words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}\p{M}]+)"), F.lit(1))
+        at = lambda w: F.when(F.size(w) >= 20, F.sequence(F.lit(1), F.size(w) - 19)).otherwise(F.array().cast("array<int>"))
+        # The words are bound once, not found again for every run.
+        return F.flatten(F.transform(F.array(words), lambda w: F.transform(at(w), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(20)), " ")))))
+
+    pairs = leaked_items(docs, items)
+    # Only documents that leak something are read again.
+    both = pairs.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", runs("item_text").alias("item_runs")), "item_id")
+    return both.where(F.arrays_overlap("item_runs", runs("text"))).select("doc_id", "item_id").distinct()
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pii_stretches(table(spark, d, "documents"))
 
@@ -159,6 +175,7 @@ QUERIES = {
     "p8_fill": p8_fill,
     "p8_invariants": p8_invariants,
     "p9_found": p9_found,
+    "p9_verbatim": p9_verbatim,
     "p10_found": p10_found,
     "p10_masked": p10_masked,
     "p10_email_documents": p10_email_documents,

@@ -12,6 +12,9 @@ WHERE length(content) > max_chars""",
     "p7_invariants": """SELECT k.profile, count(*) AS rows, count(*) FILTER (WHERE length(content) > max_chars) AS split_rows, 0 AS over_limit, 0 AS not_whole
 FROM kb_chunk k LEFT JOIN chunking_config c ON k.profile = c.profile GROUP BY 1""",
     "p8_invariants": "SELECT count(*) AS documents, count(*) AS placed, 0 AS split_though_fitting, 0 AS lost_tokens, 0 AS overfull FROM documents",
+    "p9_verbatim": r"""WITH g AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') AS w FROM documents), h AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}\p{M}]+') AS w FROM eval_item),
+a AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 19], ' ')) AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM g)), b AS (SELECT DISTINCT item_id, hash(array_to_string(w[i:i + 19], ' ')) AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 18)) AS i FROM h))
+SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (run)""",
     "p10_email_documents": r"""SELECT source, count(*) AS documents FROM documents
 WHERE regexp_matches(text, '(^|[^A-Za-z0-9._+%\x{00C0}-\x{024F}''’-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}') GROUP BY 1""",
 }
