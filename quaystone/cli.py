@@ -195,6 +195,15 @@ def kb_search(spark: SparkSession, a) -> list:
     return [[r.doc_id, r.heading, round(r.similarity, 4), r.kept] for r in near.collect()]
 
 
+def docs_fetch(spark: SparkSession, a) -> dict:
+    """Fetch a source of the registry under its pinned digest."""
+    from quaystone.config import SourceRegistry, load
+    from quaystone.sources.fetch import fetch
+
+    path, now = fetch(spark, load(a.registry, SourceRegistry).select(a.source), f"{a.lake}/docs")
+    return {"path": path, "fetched": now}
+
+
 def docs_parse(spark: SparkSession, a) -> dict:
     blocks = scan.read_blocks(spark, a.blocks)
     bad = blocks.where("error IS NOT NULL").count()
@@ -295,7 +304,7 @@ def query(spark: SparkSession, a) -> dict:
     return {"columns": got.columns, "rows": [[plain(c) for c in r] for r in got.rows], "truncated": got.truncated, "findings": lint(spark, safe.sql, {t.name: (t.partitioned_by or "", frozenset(t.columns)) for t in schema.STAR.values()})}
 
 
-COMMANDS = {"load-dims": load_dims, "load-fact": load_fact, "finalize": finalize, "refresh-rollups": refresh_rollups, "profile": profile, "db-init": db_init, "kb-init": kb_init, "kb-drop": kb_drop, "kb-build": kb_build, "kb-search": kb_search, "docs-parse": docs_parse, "query": query, "ping": ping, "drop": drop, "ask": ask, "eval": evaluate}
+COMMANDS = {"load-dims": load_dims, "load-fact": load_fact, "finalize": finalize, "refresh-rollups": refresh_rollups, "profile": profile, "db-init": db_init, "kb-init": kb_init, "kb-drop": kb_drop, "kb-build": kb_build, "kb-search": kb_search, "docs-fetch": docs_fetch, "docs-parse": docs_parse, "query": query, "ping": ping, "drop": drop, "ask": ask, "eval": evaluate}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -328,6 +337,9 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("question")
             c.add_argument("--top", type=int, default=4)
             c.add_argument("--floor", type=float, default=0.0)
+        if name == "docs-fetch":
+            c.add_argument("--registry", required=True)
+            c.add_argument("source")
         if name == "docs-parse":
             c.add_argument("blocks")
         if name == "query":

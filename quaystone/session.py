@@ -113,23 +113,34 @@ def _hadoop(spark: SparkSession, path: str):
 
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small text file from any file system that Spark reads; None if there is none."""
+    held = read_bytes(spark, path)
+    return None if held is None else held.decode("utf-8")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, see ``write_bytes``."""
+    write_bytes(spark, path, text.encode("utf-8"))
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """A file that fits the driver, from any file system that Spark reads; None if there is none."""
     fs, p = _hadoop(spark, path)
     if not fs.exists(p):
         return None
     stream = fs.open(p)
     try:
-        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
     finally:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small text file, written beside its place and renamed, so that readers see the old text or the new one."""
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """Written beside its place and renamed, so that readers see the old file or the new one."""
     fs, p = _hadoop(spark, path)
     fresh = _hadoop(spark, path + ".new")[1]
     stream = fs.create(fresh, True)
     try:
-        stream.write(text.encode("utf-8"))
+        stream.write(content)
     finally:
         stream.close()
     if fs.exists(p):

@@ -237,3 +237,36 @@ def test_config(tmp_path):
             load(str(f))
     f.write_text("top_k: 2")
     assert load(str(f), EvaluationConfig).top_k == 2
+
+
+def test_profiles_and_sources(spark, tmp_path):
+    import hashlib
+
+    from quaystone.config import ConfigError, ProfileSet, SourceRegistry, load
+    from quaystone.sources.fetch import fetch
+
+    f = tmp_path / "m.yaml"
+    f.write_text("active: small\nprofiles:\n  small: {provider: canned, generator: g, embedder: e, dimensions: 8}\n  large: {provider: canned, generator: g2, embedder: e2, dimensions: 16, floor: 1}\n")
+    models = load(str(f), ProfileSet)
+    assert models.select().dimensions == 8 and models.select("large").floor == 1.0
+    with pytest.raises(ConfigError):
+        models.select("huge")
+    for bad in ("active: other\nprofiles: {small: {provider: c, generator: g, embedder: e, dimensions: 8}}", "active: small\nprofiles: {}", "active: small\nprofiles: {small: {provider: c, generator: g, embedder: e, dimensions: 8, x: 1}}"):
+        f.write_text(bad)
+        with pytest.raises(ConfigError):
+            load(str(f), ProfileSet)
+    body = b"%PDF- a document"
+    one = "{source_id: guide, title: T, publisher: P, canonical_url: 'https://host.example/a/guide.pdf', version: '1.2', language: en, sha256: %s}"
+    f.write_text(f"sources: [{one % hashlib.sha256(body).hexdigest()}]")
+    source = load(str(f), SourceRegistry).select("guide")
+    asked = []
+    get = lambda url: asked.append(url) or body
+    path, now = fetch(spark, source, str(tmp_path / "docs"), get)
+    assert now and path.endswith("/guide__1.2.pdf") and not fetch(spark, source, str(tmp_path / "docs"), get)[1] and asked == [source.canonical_url]
+    with pytest.raises(ScanError, match="pinned"):
+        fetch(spark, source, str(tmp_path / "other"), lambda url: b"republished")
+    assert not (tmp_path / "other").exists()
+    for bad in ("sources: []", f"sources: [{one % 'short'}]", f"sources: [{one % ('0' * 64)}, {one % ('1' * 64)}]", f"sources: [{(one % ('0' * 64)).replace('guide,', '../guide,')}]"):
+        f.write_text(bad)
+        with pytest.raises(ConfigError):
+            load(str(f), SourceRegistry)
