@@ -13,7 +13,7 @@ from quaystone.llm.packing import fill_report, pack, token_sizes
 from quaystone.llm.pii import masked_texts, pii_stretches
 from quaystone.llm.quantiles import combine, percentiles, sketches, usable
 from quaystone.llm.splitting import split_oversized
-from quaystone.session import cut, table
+from quaystone.session import BROADCAST_BYTES, cut, sizes_of, table
 
 PROBABILITIES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 #: Tokens of a container.
@@ -70,9 +70,9 @@ def p2_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def measured_groups(values: DataFrame, groups: DataFrame, same: Column) -> DataFrame:
-    """Values beside the row of their group; the groups are broadcast if they are few, as counted, else joined by Spark's choice."""
+    """Values beside the row of their group; the groups are broadcast if they are small, as measured, else joined by Spark's choice."""
     groups = cut(groups)
-    return values.join(F.broadcast(groups) if groups.count() <= 100_000 else groups, same)
+    return values.join(F.broadcast(groups) if sizes_of(groups)[0].bytes <= BROADCAST_BYTES else groups, same)
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
