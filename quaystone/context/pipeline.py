@@ -14,7 +14,7 @@ from quaystone.evaluation.trace import annotate, span, traced
 from quaystone.functions import vectors
 from quaystone.functions.text import route as route_expression
 from quaystone.operators import rollups
-from quaystone.plans.execute import QueryFailed, QueryResult, QueryTooExpensive, check_cost, execute
+from quaystone.plans.execute import QueryFailed, QueryResult, QueryTooExpensive, check_cost, execute, plain
 from quaystone.plans.guard import Policy, SafeQuery, UnsafeQuery, analysed, validate
 from quaystone.plans.lint import lint
 from quaystone.schema import STAR
@@ -144,6 +144,24 @@ class AnswerPipeline:
                 text = self.generate(prompts.answer_prompt(question, result.columns, result.rows)) if narrate else ""
             return Answer("data", text, query.sql, result, sources, findings)
 
+    def health(self) -> dict:
+        """Alive: says nothing about the tables."""
+        return {"status": "ok"}
+
+    def ask(self, body: dict) -> tuple[int, dict]:
+        """(status, answer) of a request ``{"question": text}``: 200, 400 for any other form, 422 if it cannot be answered, 503 for a failure."""
+        question = body.get("question") if isinstance(body, dict) and set(body) == {"question"} else None
+        if not isinstance(question, str) or not question.strip() or len(question) > prompts.QUESTION_CHARS:
+            return 400, {"detail": f"a question of 1 to {prompts.QUESTION_CHARS} characters is wanted, and nothing else"}
+        try:
+            got = self.answer(question)
+        except Unanswered as e:
+            return 422, {"detail": str(e)}
+        except Exception as e:  # noqa: BLE001
+            return 503, {"detail": type(e).__name__}
+        rows = [[plain(c) for c in r] for r in got.result.rows] if got.result else None
+        return 200, {"route": got.route, "text": got.text, "sql": got.sql, "columns": list(got.result.columns) if got.result else None, "rows": rows, "sources": [list(s) for s in got.sources], "findings": list(got.findings)}
+
     def ready(self) -> str | None:
         """The first thing that keeps the service from answering, or None."""
         missing = [t for t in sorted(self.policy.tables) if not self.spark.catalog.tableExists(t)]

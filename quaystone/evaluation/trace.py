@@ -16,6 +16,8 @@ from logging.handlers import RotatingFileHandler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaystone.operators.ranks import exact_percentiles
+
 _current: ContextVar[dict | None] = ContextVar("quaystone_trace", default=None)
 _log = logging.getLogger("quaystone.trace")
 
@@ -69,6 +71,6 @@ def annotate(**values) -> None:
 
 
 def span_statistics(traces: DataFrame) -> DataFrame:
-    """name, spans, p50, p95 of finite durations."""
-    s = traces.select(F.explode("spans").alias("s")).select("s.name", "s.duration_ms").where(F.col("duration_ms").isNotNull() & ~F.isnan("duration_ms"))
-    return s.groupBy("name").agg(F.count(F.lit(1)).alias("spans"), F.expr("percentile(duration_ms, 0.5)").alias("p50"), F.expr("percentile(duration_ms, 0.95)").alias("p95"))
+    """name, p50, p95, spans of finite durations."""
+    s = traces.select(F.explode("spans").alias("s")).select("s.name", "s.duration_ms")
+    return exact_percentiles(s, ["name"], "duration_ms", (0.5, 0.95), ("p50", "p95")).withColumnRenamed("n", "spans")

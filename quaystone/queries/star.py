@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quaystone.functions import layout, text, vectors
 from quaystone.functions.hashing import row_hash
 from quaystone.operators import merge, quality, rollups
+from quaystone.operators.ranks import exact_percentiles
 from quaystone.operators.rollups import rate
 from quaystone.operators.runlog import RunLog
 from quaystone.plans.guard import Policy, UnsafeQuery, capped, validate
@@ -329,13 +330,9 @@ def _requests(spark, d, *columns):
     return t.select(*[h.alias(f"__qs_h{i}") for i, h in enumerate(row_hash(t, t.columns))], *columns).distinct()
 
 
-def _finite(c):
-    return c.isNotNull() & ~F.isnan(c)
-
-
 def a17_percentiles(spark, d):
-    r = _requests(spark, d, "total_ms", "route").where(_finite(F.col("total_ms"))).groupBy("route")
-    return r.agg(*[F.round(F.expr(f"percentile(total_ms, {p})"), 6).alias(f"p{int(p * 100)}") for p in TRACE_PROBS], F.count(F.lit(1)).alias("requests"))
+    got = exact_percentiles(_requests(spark, d, "total_ms", "route"), ["route"], "total_ms", TRACE_PROBS, ["p50", "p95"])
+    return got.select("route", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), F.col("n").alias("requests"))
 
 
 def a18_report(spark, d):
@@ -344,8 +341,9 @@ def a18_report(spark, d):
 
 
 def a18_spans(spark, d):
-    s = _requests(spark, d, "spans").select(F.explode("spans").alias("s")).select("s.*").where(_finite(F.col("duration_ms")))
-    return s.groupBy("name").agg(*[F.round(F.expr(f"percentile(duration_ms, {p})"), 6).alias(f"p{int(p * 100)}") for p in TRACE_PROBS], F.count(F.lit(1)).alias("spans"))
+    s = _requests(spark, d, "spans").select(F.explode("spans").alias("s")).select("s.*")
+    got = exact_percentiles(s, ["name"], "duration_ms", TRACE_PROBS, ["p50", "p95"])
+    return got.select("name", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), F.col("n").alias("spans"))
 
 
 def a18_errors(spark, d):
@@ -395,15 +393,12 @@ def u2_multiset_difference(spark, d):
 
 
 def _deliveries(spark, d):
-    """The first and the last delivery, each station once."""
-    snap = table(spark, d, "dim_station_snapshot")
-    ends = snap.agg(F.min("snapshot_no").alias("a"), F.max("snapshot_no").alias("b"))
-    one = snap.join(F.broadcast(ends)).select("station_key", "snapshot_no", "a", "b", F.struct("loaded_at", "station_name", "station_type").alias("v"))
-
-    def side(which):
-        return one.where(F.col("snapshot_no") == F.col(which)).groupBy("station_key").agg(F.max("v").alias("v")).select("station_key", "v.station_name", "v.station_type")
-
-    return side("a"), side("b")
+    """The register as all deliveries but the last left it, and the last delivery, each station once."""
+    snap = table(spark, d, "dim_station_snapshot").select("station_key", "snapshot_no", "loaded_at", "station_name", "station_type")
+    last = snap.agg(F.max("snapshot_no").alias("last"))
+    both = snap.join(F.broadcast(last))
+    order = ["snapshot_no", "loaded_at", "station_name", "station_type"]
+    return tuple(last_wins(both.where(side).drop("last"), ["station_key"], order).select("station_key", "station_name", "station_type") for side in ("snapshot_no < last", "snapshot_no = last"))
 
 
 def w1_upsert(spark, d):

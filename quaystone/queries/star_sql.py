@@ -45,9 +45,9 @@ def _near_set(k, where="true"):
 
 REQUESTS = "(SELECT DISTINCT * FROM request_trace)"
 _BLANK = r" \t\n\x0B\f\r"
-_ENDS = """WITH ends AS (SELECT min(snapshot_no) AS a, max(snapshot_no) AS b FROM dim_station_snapshot),
-o AS (SELECT station_key, max(struct_pack(l := loaded_at, n := station_name, t := station_type)) AS v FROM dim_station_snapshot, ends WHERE snapshot_no = a GROUP BY 1),
-n AS (SELECT station_key, max(struct_pack(l := loaded_at, n := station_name, t := station_type)) AS v FROM dim_station_snapshot, ends WHERE snapshot_no = b GROUP BY 1),
+_ENDS = """WITH z AS (SELECT max(snapshot_no) AS b FROM dim_station_snapshot),
+o AS (SELECT station_key, struct_pack(n := station_name, t := station_type) AS v FROM dim_station_snapshot, z WHERE snapshot_no < b QUALIFY row_number() OVER (PARTITION BY station_key ORDER BY snapshot_no DESC, loaded_at DESC NULLS LAST, station_name DESC NULLS LAST, station_type DESC NULLS LAST) = 1),
+n AS (SELECT station_key, struct_pack(n := station_name, t := station_type) AS v FROM dim_station_snapshot, z WHERE snapshot_no = b QUALIFY row_number() OVER (PARTITION BY station_key ORDER BY loaded_at DESC NULLS LAST, station_name DESC NULLS LAST, station_type DESC NULLS LAST) = 1),
 up AS (SELECT station_key, CASE WHEN n.station_key IS NULL THEN o.v ELSE n.v END AS v, CASE WHEN n.station_key IS NULL THEN 'kept' WHEN o.station_key IS NULL THEN 'inserted' ELSE 'updated' END AS outcome FROM o FULL JOIN n USING (station_key))
 """
 _HITS = """WITH r AS (SELECT q.vec_id AS query_id, q.label AS wanted, e.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, e.vec_id) AS place

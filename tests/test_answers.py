@@ -129,6 +129,14 @@ def test_pipeline(lake):
         p.answer("How many rows in total?", narrate=False)
     with pytest.raises(Unanswered):
         p.answer(" ")
+    p.generate = Canned([sql, "It is 4000."])
+    status, body = p.ask({"question": "How many rows in total?"})
+    assert status == 200 and body["rows"] == [[4000]] and body["columns"] == ["n"] and body["findings"] and p.health() == {"status": "ok"}
+    assert [p.ask(b)[0] for b in ({}, {"question": ""}, {"question": "x" * 501}, {"question": "x", "more": 1}, [], {"question": 5})] == [400] * 6
+    p.generate = Canned(["DROP TABLE x", "DELETE FROM lake.dim_date"])
+    assert p.ask({"question": "How many rows in total?"})[0] == 422
+    p.generate = Canned([])
+    assert p.ask({"question": "How many rows in total?"}) == (503, {"detail": "IndexError"})
 
 
 def test_pipeline_passages_and_stale_rollup(lake):

@@ -10,6 +10,7 @@ from quaystone.functions.hashing import bloom_bits, build_bloom, might_contain
 from quaystone.operators.heavy import heavy_counts, heavy_hitters, per_key, per_keys, skew_join
 from quaystone.operators.orphans import Reference, orphan_counts, orphan_references
 from quaystone.operators.profile import Rule, ValueCountStore, apply_delta, load_shift, metrics, value_counts
+from quaystone.operators.ranks import exact_percentiles
 from quaystone.operators.snapshots import snapshot_changes
 from quaystone.operators.trailing import trailing_totals
 from quaystone.session import measured_join, read_text, sizes_of, write_text
@@ -36,6 +37,12 @@ def test_snapshot_changes(spark):
     want = [(3, 3, "removed"), (3, 4, "changed"), (3, 5, "added"), (4, 1, "changed"), (4, 2, "changed")]
     assert _changes(spark, rows) == want
     assert _changes(spark, rows[:4]) == []
+    df = spark.createDataFrame([(1, 1, "a", -5), (1, 1, "b", 3), (2, 1, "b", None), (2, 1, "a", -2_000_000_000), (3, 1, "a", 7)], "no int, k int, name string, at int")
+    assert [(r.no, r.change_kind) for r in snapshot_changes(df, "no", ["k"], ["name"], "at").collect()] == [(2, "changed")]
+    early = df.select("no", "k", "name", F.when(F.col("at") == 3, F.lit("9999-12-31").cast("date")).when(F.col("at") == -5, F.lit("0001-01-01").cast("date")).alias("at"))
+    assert sorted((r.no, r.change_kind) for r in snapshot_changes(early.where("no < 3"), "no", ["k"], ["name"], "at").collect()) in ([], [(2, "changed")])
+    with pytest.raises(TypeError):
+        snapshot_changes(df, "no", ["k"], ["at"], "name")
     assert _changes(spark, []) == []
 
 
@@ -220,3 +227,15 @@ def test_shift_between_loads(spark):
     got = {r.load: r for r in load_shift(value_counts(spark.createDataFrame(rows, "l string, v string"), "t", ["v"], by=F.col("l"))).collect()}
     assert got["1"].shift is None and math.isclose(got["2"].shift, 0.5) and math.isclose(got["4"].shift, 1.0)
     assert got["4"].null_rate == 1.0 and got["2"].rows == 4
+
+
+def test_exact_percentiles(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1.0, 2.0, 7.5, rng.random() * 100])) for _ in range(3000)] + [("one", 4.0), ("two", 1.0), ("two", 2.0), ("none", None), ("none", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: r for r in exact_percentiles(df, ["g"], "v", [0.0, 0.5, 0.95, 1.0], ["low", "mid", "p95", "top"]).collect()}
+    want = {r.g: r for r in df.where("v IS NOT NULL AND NOT isnan(v)").groupBy("g").agg(*[F.expr(f"percentile(v, {p})").alias(n) for n, p in (("low", 0), ("mid", 0.5), ("p95", 0.95), ("top", 1))], F.count("v").alias("n")).collect()}
+    assert set(got) == set(want) == {"a", "b", None, "one", "two"}
+    for g, r in want.items():
+        assert got[g].n == r.n and all(math.isclose(got[g][c], r[c]) for c in ("low", "mid", "p95", "top"))
+    assert exact_percentiles(df.limit(0), ["g"], "v", [0.5], ["m"]).count() == 0
