@@ -538,11 +538,12 @@ def e8_report(spark, d):
 
 
 def e1_compared(spark, d):
-    """The two rankings of a3 against each other and themselves, as tables that are compared."""
+    """The first and the last relations, each with a share, against each other and themselves, as tables that are compared."""
     from quaystone.evaluation.compare import Spec, compare
 
-    worst, best = ([tuple(r) for r in f(spark, d).collect()] for f in (a3_worst_stations, a3_best_stations))
-    turned = [(round(rate * 100, 1) if rate is not None else None, name, "more") for name, rate in reversed(worst)]
+    keys = [[r.relation_key for r in _relation(spark, d).select("relation_key").orderBy(order).limit(k).collect()] for order, k in ((F.asc("relation_key"), 5), (F.desc("relation_key"), 3))]
+    worst, best = ([(k, round((i + 1) / 7, 4)) for i, k in enumerate(some)] for some in keys)
+    turned = [(round(share * 100, 1), name, "more") for name, share in reversed(worst)]
     cases = {
         "itself": (worst, worst, Spec("ordered")), "as_set_in_percent": (worst, turned, Spec("set", accept_percent=True)), "as_set_without_percent": (worst, turned, Spec("set")),
         "in_another_order": (worst, turned, Spec("ordered", accept_percent=True)), "another_ranking": (worst[:3], best, Spec("set")), "first_row_only": (worst, worst[:1] + worst[:0:-1], Spec("ordered", top_k=1)),
