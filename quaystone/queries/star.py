@@ -22,7 +22,7 @@ from quaystone.plans.guard import Policy, UnsafeQuery, capped, validate
 from quaystone.plans.lint import lint
 from quaystone.schema import DIM_DATE, DIM_RELATION, DIM_STATION, EXPORT, FACT, STAR
 from quaystone.session import cut, ensure_checkpoint_dir, read_text, table, write_text
-from quaystone.sources.scan import ScanError, Scope, check_columns, coverage_gate, is_partitioned, last_wins, read_blocks, read_manifest, read_table, violations, write_blocks
+from quaystone.sources.scan import ScanError, Scope, check_columns, coverage_gate, digests, is_partitioned, last_wins, read_blocks, read_manifest, read_table, violations, write_blocks
 
 JULY = Scope(date(2026, 7, 1), date(2026, 8, 1))
 #: Volume below which a key is not ranked.
@@ -652,6 +652,43 @@ def t2_packed(spark, d):
     return kb.select("doc_id", "chunk_index", "piece_no", F.md5("piece").alias("piece_md5"))
 
 
+def _marks(spark, d):
+    """Every section as a page with marks under up to four columns, at one height or two, and an underline."""
+    kb = _kb(spark, d).select("doc_id", "chunk_index", F.coalesce(F.length("content"), F.lit(0)).alias("n"))
+    sides = F.transform(F.sequence(F.lit(0), F.col("n") % 4), lambda j: F.struct((F.lit(50.0) + 100 * j).alias("x0"), (F.lit(150.0) + 100 * j).alias("x1")))
+    heights = F.array(F.lit(100.0), F.lit(100.0) + (F.col("n") % 7) * 10)
+    under = kb.select("doc_id", "chunk_index", F.lit(70.0).alias("x0"), F.lit(130.0).alias("x1"), F.lit(300.0).alias("top"))
+    drawn = kb.select("doc_id", "chunk_index", F.explode(sides).alias("s"), heights.alias("h")).select("doc_id", "chunk_index", "s.x0", "s.x1", F.explode("h").alias("top"))
+    thick = kb.select("doc_id", "chunk_index", F.lit(0.0).alias("x0"), F.lit(500.0).alias("x1"), F.lit(400.0).alias("top"), F.lit(450.0).alias("bottom"))
+    return drawn.unionByName(under).withColumn("bottom", F.col("top") + 1).unionByName(thick)
+
+
+def d2_column_edges(spark, d):
+    rules = layout.page_rules(_marks(spark, d), "doc_id", "chunk_index")
+    return layout.column_edges(rules, _kb(spark, d).select("doc_id", "chunk_index"), "doc_id", "chunk_index").select("doc_id", F.posexplode("edges").alias("edge_no", "edge"))
+
+
+def d2_row_edges(spark, d):
+    rules = layout.page_rules(_marks(spark, d), "doc_id", "chunk_index")
+    columns = layout.column_edges(rules, _kb(spark, d).select("doc_id", "chunk_index"), "doc_id", "chunk_index")
+    return layout.row_edges(rules, columns, "doc_id", "chunk_index").select("doc_id", "chunk_index", F.posexplode("rows").alias("row_no", "y"))
+
+
+def t6_glossary(spark, d):
+    """Sections as rows of a glossary: those without a heading continue the entry before."""
+    cells = F.create_map(F.lit("t"), F.coalesce("heading", F.lit("")), F.lit("x"), F.coalesce("content", F.lit("")))
+    blocks = _kb(spark, d).select("doc_id", "chunk_index", F.lit("table_row").alias("kind"), F.col("profile").alias("section"), cells.alias("cells"))
+    return text.glossary(blocks, "doc_id", "chunk_index", "t", {"x": "Meaning"}).select("doc_id", "chunk_index", "heading", F.md5("content").alias("content_md5"), "has_no_entry")
+
+
+def s14_digests(spark, d):
+    """Digests of files in the shared folder."""
+    path = _folder(spark, "sources")
+    for r in table(spark, d, "eval_item").select("suite").distinct().collect():
+        write_text(spark, f"{path}/{r.suite}.txt", r.suite)
+    return digests(spark, path)
+
+
 def d5_lost_characters(spark, d):
     """Characters that the contents of a knowledge document hold less often than headings and contents together."""
     kb = _kb(spark, d)

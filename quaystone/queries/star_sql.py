@@ -66,6 +66,15 @@ _ASKS_DATA = """how many|how much|which station|which stations|which train|which
 _ASKS_CONCEPT = """why is|why are|why does|why do|what does it mean|what is meant|how is punctuality|how do you define|how is it defined|what does|how does the|how was|where does the data|who publishes|explain|definition|architecture|limitation|known issue|modelled|modeled|design"""
 _COUNTED = "len(list_filter(string_split('{0}', '|'), lambda m: contains(lower(item_text), m)))"
 
+_MARKS = """WITH k AS (SELECT doc_id, chunk_index, coalesce(length(content), 0) AS n FROM kb_chunk),
+marks AS (SELECT DISTINCT doc_id, chunk_index, 50.0::DOUBLE + 100 * j AS x0, 150.0::DOUBLE + 100 * j AS x1, y + 0.5::DOUBLE AS y
+  FROM (SELECT *, unnest(range(n % 4 + 1)) AS j FROM k), LATERAL (SELECT unnest([100.0::DOUBLE, 100.0::DOUBLE + (n % 7) * 10]) AS y)),
+ends AS (SELECT doc_id, chunk_index, x0 AS edge, y FROM marks UNION SELECT doc_id, chunk_index, x1, y FROM marks),
+voted AS (SELECT doc_id, chunk_index, edge FROM ends GROUP BY 1, 2, 3 HAVING count(DISTINCT y) >= 2),
+pages AS (SELECT doc_id, count(*) AS total FROM k GROUP BY 1),
+edges AS (SELECT doc_id, edge FROM voted JOIN pages USING (doc_id) GROUP BY doc_id, edge, total HAVING count(*) >= greatest(1, floor(total * 0.5)))
+"""
+
 SQL = {
     "a7_stale_rollup": f"""WITH b AS (SELECT date_key, station_key, count(*) AS row_count, CAST(sum(stop_events) AS BIGINT) AS stop_events, CAST(sum(CASE WHEN punctual_arrivals IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS measured_arrivals, CAST(coalesce(sum(punctual_arrivals), 0) AS BIGINT) AS punctual_arrivals
       FROM stg_fact_stop_event WHERE date_key IS NOT NULL AND station_key IS NOT NULL GROUP BY 1, 2), k AS (SELECT date_key, station_key, row_count, stop_events, measured_arrivals, punctual_arrivals FROM agg_station_day)
@@ -95,6 +104,15 @@ SQL = {
         FROM fold WHERE i < len(ps)),
       whole AS (SELECT doc_id, chunk_index, CASE WHEN buf = '' THEN parts ELSE list_append(parts, buf) END AS parts FROM fold WHERE i = len(ps) UNION ALL SELECT doc_id, chunk_index, [content] FROM k WHERE length(content) <= 600)
       SELECT doc_id, chunk_index, CAST(n AS INTEGER) AS piece_no, md5(parts[n + 1]) AS piece_md5 FROM (SELECT *, unnest(range(len(parts))) AS n FROM whole)""",
+    "d2_column_edges": _MARKS + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY edge) - 1 AS INTEGER) AS edge_no, edge FROM edges WHERE doc_id IN (SELECT doc_id FROM edges GROUP BY 1 HAVING count(*) >= 2)",
+    "d2_row_edges": _MARKS
+    + """, fits AS (SELECT DISTINCT m.doc_id, m.chunk_index, m.y FROM marks m JOIN edges a ON a.doc_id = m.doc_id AND a.edge = m.x0 JOIN edges b ON b.doc_id = m.doc_id AND b.edge = m.x1),
+      many AS (SELECT *, count(*) OVER (PARTITION BY doc_id, chunk_index) AS n FROM fits) SELECT doc_id, chunk_index, CAST(row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY y) - 1 AS INTEGER) AS row_no, y FROM many WHERE n >= 2""",
+    "t6_glossary": f"""WITH r AS (SELECT doc_id, chunk_index, profile, {_flat("coalesce(heading, '')")} AS term, trim(coalesce(content, ''), ' ') AS body FROM kb_chunk),
+      e AS (SELECT *, sum(CASE WHEN term <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS entry FROM r),
+      f AS (SELECT doc_id, entry, arg_min(profile, chunk_index) AS section, arg_min(term, chunk_index) AS term, coalesce(string_agg(body, chr(10) || chr(10) ORDER BY chunk_index) FILTER (WHERE body <> ''), '') AS content FROM e GROUP BY 1, 2)
+      SELECT doc_id, CAST(entry - 1 AS BIGINT) AS chunk_index, section || ' — ' || term AS heading, md5(CASE WHEN content = '' THEN term ELSE content END) AS content_md5, entry = 0 AS has_no_entry FROM f""",
+    "s14_digests": "SELECT DISTINCT suite || '.txt' AS file, sha256(suite) AS sha256 FROM eval_item",
     "d5_lost_characters": r"""SELECT doc_id, c AS "char", count(*) AS lost FROM (SELECT doc_id, unnest(string_split(regexp_replace(heading, '[ \t\n\x0B\f\r]+', '', 'g'), '')) AS c FROM kb_chunk WHERE heading IS NOT NULL) WHERE c <> '' GROUP BY 1, 2""",
     "g1_guard": """SELECT * FROM (VALUES ('SELECT 1 AS one', true), ('SELECT year FROM dim_date', true), ('SELECT max(year) FROM gold.dim_date', true), ('SELECT year FROM gold.dim_date UNION SELECT month FROM gold.dim_date', true), ('SELECT key FROM vault', false), ('DELETE FROM gold.dim_date', false),
       ('SELECT year FROM gold.dim_date; SELECT 2', false), ('SHOW DATABASES', false), ('SELECT java_method(year) FROM gold.dim_date', false), ('SELECT year FROM gold.dim_date EXCEPT SELECT month FROM gold.dim_date', false)) t("statement", admitted)""",
