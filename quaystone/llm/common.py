@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quaystone.session import ship_package
 
@@ -32,11 +34,11 @@ def map_texts(df: DataFrame, key: str, text: str, name: str, over: Callable[[lis
     The key column comes out as ``name`` in its own type, so null keys and 64-bit keys stay exact. No shuffle.
     """
     ship_package(df.sparkSession)
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+    kinds = {c: to_arrow_type(T._parse_datatype_string(k)) for c, k in schema.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            types = {name: batch.schema.field(0).type} | {c: kinds[k] for c, k in schema.items()}
+            types = {name: batch.schema.field(0).type} | kinds
             for out in over(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(out[c], type=t) for c, t in types.items()], names=list(types))
 

@@ -338,7 +338,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     one row per pair of ids; null ids are kept as null; whole texts are read.
     """
     spark = documents.sparkSession
-    item_kind = {"bigint": "long"}.get(kind := items.schema[item_id].dataType.simpleString(), kind)
+    item_kind = items.schema[item_id].dataType.simpleString()
     indexes = item_indexes(map(tuple, items.select(F.col(f"`{item_id}`"), F.col(f"`{item_text}`")).toLocalIterator()), index_bytes)
 
     def search(part: list[ItemIndex]):

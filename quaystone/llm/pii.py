@@ -521,13 +521,14 @@ def _people(text: str, hits: list[tuple[int, str, list[str]]]) -> Iterator[tuple
                     break
             else:
                 # The sentence before may lack its full stop: the name is what ends here, so words are tried from here to the left.
-                found, at = None, end_of
-                while at > start:
+                found, at, words = None, end_of, 0
+                while at > start and words < 3:  # no name has more than two words that are neither particle nor initial
                     w = at
                     while w > start and (text[w - 1].isalpha() or text[w - 1] in "'’-.­​" or unicodedata.combining(text[w - 1]) or text[w - 1] in _NAME_SIGNS):
                         w -= 1
                     if w == at or not (_is_name_word(text[w:at].strip("."), False) or text[w:at].lower() in _PARTICLES or _INITIALS.fullmatch(text, w, at)):
                         break
+                    words += text[w:at].lower() not in _PARTICLES and not _INITIALS.fullmatch(text, w, at)
                     if parse_name(text, w) == end_of:
                         found = w
                     at = w

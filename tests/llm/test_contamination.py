@@ -114,4 +114,6 @@ def test_operator_cases(spark):
     in_blocks = leaked_items(spark.createDataFrame(docs, "doc_id long, text string, item_id int"), items, index_bytes=1, blocks_a_pass=1).collect()
     assert sorted(map(str, in_blocks)) == sorted(map(str, got))
     assert leaked_items(spark.createDataFrame([], "doc_id long, text string"), items).count() == 0
+    other = leaked_items(spark.createDataFrame([("k'1", item)], "doc_id string, text string"), items.selectExpr("CAST(item_id AS smallint) AS item_id", "item_text"))
+    assert [(r.doc_id, r.item_id) for r in other.collect()] == [("k'1", 1)] and dict(other.dtypes)["item_id"] == "smallint"
     assert leaked_items(spark.createDataFrame(docs, "doc_id long, text string, item_id int"), items.limit(0)).count() == 0

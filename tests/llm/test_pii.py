@@ -41,6 +41,9 @@ def test_long_and_broken_texts():
     find_pii("a" * 200_000)
     find_pii("1 " * 50_000)
     find_pii("Aa " * 30_000)
+    find_pii(("Aa " * 40 + "zag ") * 2_000)
+    find_pii("van de " * 20_000 + "zag ")
+    find_pii(("Flat 3, " * 50 + "12 " + "Aa " * 6 + "Street ") * 300)
     assert find_pii("x " * 50_000 + "mail a.b@c.example")[-1][2] == "email"
     find_pii("Ã© \ud800 \u0000 " * 100)
 
